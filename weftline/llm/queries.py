@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, secret_scan, token_files
+from . import bpe, media, secret_scan, suffix_dedup, token_files, window_dedup
 from .common import documents, emit, pick, text_rows
 
 
@@ -45,8 +46,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove(documents(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = window_dedup.remove(documents(spark, sf_dir))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op3_secret_scans, op4_bpe_round_trip, op7_token_files)}
+    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op7_token_files, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
