@@ -34,12 +34,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
-LINE = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)"
+LINE = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
 
 
 def lines_by_order(t, *fields: str) -> DataFrame:
     """l_orderkey, lines: the order's lines as structs in fork order."""
-    row = F.struct(*ORDER, *(f for f in fields if f not in ORDER))
+    full = (*ORDER, "l_extendedprice", "l_quantity")
+    row = F.struct(*full, *(f for f in fields if f not in full))
     return t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("lines"))
 
 
