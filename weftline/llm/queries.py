@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, secret_scan, suffix_dedup, token_files, window_dedup
+from . import bpe, media, quality, secret_scan, suffix_dedup, token_files, window_dedup
 from .common import documents, emit, pick, text_rows
 
 
@@ -51,13 +51,17 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = window_dedup.remove(documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op7_token_files, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op7_token_files, op8_quality_classifier, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
