@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, quality, secret_scan, suffix_dedup, token_files, window_dedup
+from . import bpe, media, pii, quality, secret_scan, suffix_dedup, token_files, window_dedup
 from .common import documents, emit, pick, text_rows
 
 
@@ -60,8 +60,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op7_token_files, op8_quality_classifier, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op7_token_files, op8_quality_classifier, op9_substring_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
