@@ -10,7 +10,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i < n, modulo 2**64."""
     inverse = pow(BASE, -1, 1 << 64)
@@ -20,7 +20,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(12, int(n).bit_length()))
+    up, down = _powers(((n >> 17) + 1) << 17)
     return up[:n], down[:n]
 
 
@@ -29,15 +29,20 @@ _VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, np.u
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """Spreads the bits of h, in its place."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial hash of bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * powers(len(data))[0], out=out[1:])
+    values = _VALUES[data]
+    values *= powers(len(data))[0]
+    np.cumsum(values, out=out[1:])
     return out
 
 
@@ -50,7 +55,9 @@ def of_grams(sums: np.ndarray, n: int) -> np.ndarray:
     """The hash of every data[i:i+n]."""
     if len(sums) <= n:
         return np.zeros(0, np.uint64)
-    return mix((sums[n:] - sums[:-n]) * powers(len(sums))[1][: len(sums) - n])
+    h = sums[n:] - sums[:-n]
+    h *= powers(len(sums))[1][: len(h)]
+    return mix(h)
 
 
 def of_sequences(items: np.ndarray, n: int) -> np.ndarray:

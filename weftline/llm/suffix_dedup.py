@@ -39,6 +39,10 @@ LENGTH = 50
 #: Bytes of the grams whose smallest hash names a string.
 GRAM = 20
 BUCKET_BYTES = 8 << 20
+#: Text bytes in a block; a worker needs about 100 times as much memory.
+BLOCK_BYTES = 1 << 20
+#: Parts of a bucket whose suffixes are sorted one after the other.
+PARTS = 8
 
 
 # Suffix arrays
@@ -127,6 +131,8 @@ def least_docs(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     """For each piece and each of its ``length``-byte strings the smallest doc of any piece that has it."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
+    if not len(pieces):
+        return []
     flat = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 2
     flat[starts + sizes] = 1  # below all bytes
     order = suffix_array(flat, length)
@@ -176,7 +182,8 @@ class Pieces:
         doc = np.searchsorted(self.ends, at, "right")
         new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         cut = np.flatnonzero(new)
-        self.start, self.hash, self.doc = at[cut], least[cut], doc[cut]
+        # minima crowd near 0: mixed once more, they spread over all buckets
+        self.start, self.hash, self.doc = at[cut], rolling.mix(least[cut] + np.uint64(1)), doc[cut]
         self.count = np.diff(np.append(cut, len(at)))
 
     def distinct(self, chosen: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -211,40 +218,53 @@ def _ask_pieces(pieces: list[bytes], hashes: np.ndarray, docs: np.ndarray, bucke
         x, y = cuts[b], cuts[b + 1]
         if x < y:
             sizes = np.array([len(p) for p in pieces[x:y]], "<u4").tobytes()
-            yield b, struct.pack("<q", y - x) + squeeze.compress(sizes + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
+            parts = np.searchsorted(hashes[x:y], _bounds(buckets * PARTS)[b * PARTS : (b + 1) * PARTS]).astype("<q")
+            yield b, struct.pack("<q", y - x) + parts.tobytes() + squeeze.compress(sizes + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
 
 
-def _read_pieces(blob: bytes) -> tuple[list[bytes], np.ndarray]:
-    n = struct.unpack_from("<q", blob)[0]
-    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
+def _read_pieces(blob: bytes) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """Pieces, their docs, and the places where the bucket's parts begin and end."""
+    n, *parts = struct.unpack_from(f"<{1 + PARTS}q", blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * PARTS :])
     ends = np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)).tolist()
     docs = unpack_docs(raw[4 * n :], n)
     at = 4 * n + 9 + n * raw[4 * n]
-    return [raw[at + a : at + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], docs
+    return [raw[at + a : at + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], docs, [*parts, n]
 
 
 def _answers(length: int):
-    def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def part(asked: list[tuple[list[bytes], list[int]]]) -> Iterator[np.ndarray]:
+        """For each block the bits of its pieces in one part."""
         places: dict[bytes, int] = {}
         least: list[int] = []
-        asked = []
-        for block, blob in held:
-            pieces, docs = _read_pieces(blob)
+        owns = []
+        for pieces, docs in asked:
             own = []
-            for piece, doc in zip(pieces, docs.tolist(), strict=True):
+            for piece, doc in zip(pieces, docs, strict=True):
                 at = places.setdefault(piece, len(least))
                 if at == len(least):
                     least.append(doc)
                 elif doc < least[at]:
                     least[at] = doc
                 own.append(at)
-            asked.append((block, own, docs.tolist()))
+            owns.append(own)
         found = least_docs(list(places), np.array(least, np.int64), length)
+        for own, (_, docs) in zip(owns, asked, strict=True):
+            yield np.concatenate([found[at] < doc for at, doc in zip(own, docs, strict=True)]) if own else np.zeros(0, bool)
+
+    def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        read = [_read_pieces(blob) for _, blob in held]
+        bits: list[list[np.ndarray]] = [[] for _ in held]
+        for k in range(PARTS):
+            asked = [(pieces[cuts[k] : cuts[k + 1]], docs[cuts[k] : cuts[k + 1]].tolist()) for pieces, docs, cuts in read]
+            if any(pieces for pieces, _ in asked):
+                for into, got in zip(bits, part(asked), strict=True):
+                    into.append(got)
         squeeze = zstandard.ZstdCompressor(level=3)
-        for block, own, docs in asked:
-            bits = np.concatenate([found[at] < doc for at, doc in zip(own, docs, strict=True)])
-            if bits.any():
-                yield block, squeeze.compress(np.packbits(bits).tobytes())
+        for (block, _), got in zip(held, bits, strict=True):
+            all_ = np.concatenate(got)
+            if all_.any():
+                yield block, squeeze.compress(np.packbits(all_).tobytes())
 
     return answers
 
@@ -261,7 +281,7 @@ def _read_bits(pieces: list[bytes], hashes: np.ndarray, length: int, buckets: in
     return out, offsets
 
 
-def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): the bytes that stay of every document."""
     spark = df.sparkSession
     table = blocks.build(df, id_col, text_col, block_bytes)
