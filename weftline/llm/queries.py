@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, pii, quality, secret_scan, suffix_dedup, token_files, window_dedup
+from . import bpe, decontam, jaccard, media, pii, quality, secret_scan, suffix_dedup, token_files, window_dedup
 from .common import documents, emit, pick, text_rows
 
 
@@ -42,6 +42,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(documents(spark, sf_dir)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start_word", "n_words", "distance")).alias("b")
@@ -72,7 +76,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op6_benchmark_decontamination, op7_token_files, op8_quality_classifier, op9_substring_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_token_files, op8_quality_classifier, op9_substring_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
