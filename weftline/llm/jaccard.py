@@ -80,19 +80,19 @@ def minhashes(found: np.ndarray, n: int = MINHASHES) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, tokens) of (doc_id, text): sid names the set; both are null for texts without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.string()), ("tokens", pa.binary())])
+    """(doc_id, text_hash, sid, tokens) of (doc_id, text): sid names the set; it is null for texts without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sid", pa.string()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc, text in text_rows(batches):
                 found = shingles(text)
                 doc = NO_ID if doc is None else doc
-                yield (doc, xxhash.xxh3_128_hexdigest(found.tobytes()), minhashes(found).tobytes()) if len(found) else (doc, None, None)
+                yield (doc, _signed(text), xxhash.xxh3_128_hexdigest(found.tobytes()), minhashes(found).tobytes()) if len(found) else (doc, _signed(text), None, None)
 
         return emit(schema, rows(), lambda r: 420)
 
-    return docs.mapInArrow(run, "doc_id long, sid string, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, sid string, tokens binary")
 
 
 _ROWS = pa.schema([("path", pa.int64()), ("sid", pa.string()), ("tokens", pa.binary())])
@@ -274,14 +274,19 @@ def verify(members: DataFrame, docs: DataFrame, similarity: float, partitions: i
     return got.where("b is null").groupBy("sid").agg(F.sum("links").alias("links")), got.where("b is not null").select(F.col("sid").alias("a"), "b")
 
 
+def _signed(text: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8"), 42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def _group(sid: str, groups: int) -> int:
     """Spark's pmod(xxhash64(sid), groups)."""
-    h = xxhash.xxh64_intdigest(sid.encode(), 42)
-    return (h - (1 << 64) if h >= 1 << 63 else h) % groups
+    return _signed(sid) % groups
 
 
 def join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, first): first marks the row whose doc_id is the class's id and whose set stands for it."""
+    """(doc_id, text_hash, class_id, n_links, first): first marks the row whose doc_id is the class's id and whose set stands for it."""
     docs = pick(df, id_col, text_col)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = shared_table(sets(docs), "sets")
@@ -294,7 +299,17 @@ def join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
     known = reps.drop("tokens").join(labels, "sid", "left").join(links, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     classes = known.groupBy("label").agg(F.min("first_doc").alias("class_id"))
     known = known.join(classes, "label").select("sid", "first_doc", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = own.select("doc_id", "sid").join(known, "sid", "left")
+    out = own.select("doc_id", "text_hash", "sid").join(known, "sid", "left")
     class_id = F.coalesce("class_id", "doc_id")
     null = lambda c: F.when(c != NO_ID, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), null(class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), ((F.col("doc_id") == class_id) & (F.col("first_doc").isNull() | (F.col("first_doc") == class_id))).alias("first"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), "text_hash", null(class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), ((F.col("doc_id") == class_id) & (F.col("first_doc").isNull() | (F.col("first_doc") == class_id))).alias("first"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class; of repeated rows one."""
+    found = shared_table(join(docs), "classes")
+    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_hash"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.where("first").groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -113,6 +113,33 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, path: str | None = None, efficiency: float = EFFICIENCY) -> DataFrame:
+    """All rows and columns of docs, with every secret in text replaced, and n_chars (where there is one) counted anew for these."""
+    path = path or default_vocabulary()
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            lengths = batch.column(size).to_pylist() if size is not None else []
+            changed = False
+            for i, text in enumerate(texts):
+                base = base_spans(text) if text else []
+                spans = base + random_spans(text, base, vocab, efficiency) if text else []
+                if spans:
+                    changed, texts[i] = True, redacted(text, spans)
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            if changed:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                if lengths:
+                    batch = batch.set_column(size, batch.schema.field(size), pa.array(lengths, batch.schema.field(size).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digests(found: DataFrame) -> DataFrame:
     """Counts and digests of scan()'s spans by start, then kind as listed."""
     order = F.expr(f"transform(array({', '.join(repr(k) for k in (*KINDS, 'random'))}), (k, i) -> named_struct('kind', k, 'at', i))")
