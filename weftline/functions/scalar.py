@@ -82,5 +82,6 @@ def plural(n: Column, word: str) -> Column:
 
 def strings_inside(text: Column) -> Column:
     """All string values of a JSON document, at any depth, as they stand in its text."""
-    quoted = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*+)"\s*+(?!:)'), F.lit(1))
-    return F.transform(quoted, lambda s: F.regexp_replace(s, r"\\(.)", "$1"))
+    quoted = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'), F.lit(0))
+    values = F.filter(quoted, lambda q: q.endswith('"'))
+    return F.transform(values, lambda s: F.regexp_replace(F.regexp_replace(s, '^"|"$', ""), r"\\(.)", "$1"))

@@ -35,23 +35,18 @@ def zipped(**arrays: Column) -> Column:
     known = F.lit(True)
     for a in arrays.values():
         known = known & a.isNotNull()
-    return F.when(known & even, together).when(known, _raise(F.concat(F.lit("mapped over arrays of different lengths: "), *_joined([F.size(a).cast("string") for a in arrays.values()])), together))
+    return F.when(known & even, together).when(known, F.raise_error(F.concat(F.lit("mapped over arrays of different lengths: "), *_joined([F.size(a).cast("string") for a in arrays.values()]))))
 
 
 def _joined(parts: list[Column]) -> list[Column]:
     return [c for i, p in enumerate(parts) for c in ([F.lit(", ")] if i else []) + [p]]
 
 
-def _raise(message: Column, like: Column) -> Column:
-    """An error where a value like ``like`` stands; it sits on the live column, so it isn't pruned."""
-    return F.when(F.raise_error(message).isNull(), like)
-
-
 def zipped_maps(left: Column, right: Column) -> Column:
     """Maps of equal key sets as a map of structs (l, r)."""
     same = F.array_sort(F.map_keys(left)) == F.array_sort(F.map_keys(right))
     both = F.map_zip_with(left, right, lambda _, a, b: F.struct(a.alias("l"), b.alias("r")))
-    return F.when(same, both).when(left.isNotNull() & right.isNotNull(), _raise(F.lit("mapped over maps with different keys"), both))
+    return F.when(same, both).when(left.isNotNull() & right.isNotNull(), F.raise_error(F.lit("mapped over maps with different keys")))
 
 
 def mismatch(*sizes: Column) -> Column:
@@ -117,7 +112,7 @@ def fuse(*calls: Callable[[Column], Column]) -> Callable[[Column, Column], Colum
 def element(values: Column, index: Column | int, strict: bool = True) -> Column:
     """The element at a 0-based index (or of a map key); NULL of a NULL collection; beyond the end an error, or NULL if not strict."""
     at = F.lit(index) if isinstance(index, int) else index
-    return F.when(at < F.size(values), F.get(values, at)).when(values.isNotNull() & F.lit(strict), _raise(F.lit("index out of range"), F.get(values, at)))
+    return F.when(at < F.size(values), F.get(values, at)).when(values.isNotNull() & F.lit(strict), F.raise_error(F.lit("index out of range")))
 
 
 def fork_name(index: Column, size: Column) -> Column:
