@@ -349,3 +349,13 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "encoding"]
     got = corpus_pipeline.run(spark, DATA).collect()
     assert got and all(r.whole and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_window_dedup_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = Counter(con.execute(queries.OP9_SQL).fetchall())
+    got = queries.op9_substring_dedup(spark, DATA).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in got) == want

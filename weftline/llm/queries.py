@@ -79,5 +79,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_token_files, op8_quality_classifier, op9_substring_dedup, op10_personal_data)}
 
 
+#: Word windows in SQL; the other operators have no SQL, and are tested against brute force instead.
+OP9_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, w[i] as word, i, case when i + 12 <= len(w) then array_to_string(w[i:i + 12], ' ') end as win from docs, unnest(range(1, len(w) + 1)) as t(i)),
+starts as (select *, win is not null and min(doc_id) over (partition by win) < doc_id as gone from words),
+marked as (select *, coalesce(bool_or(gone) over (partition by doc_id order by i rows between 12 preceding and current row), false) as off from starts),
+kept as (select doc_id, count(*) as n_words, count(*) filter (where off) as n_removed, string_agg(word, ' ' order by i) filter (where not off) as kept from marked group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs d left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9_SQL}
