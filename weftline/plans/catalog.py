@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import expr, lineage, mapcall, relations, resources, scatter, stats, telemetry, validate
 from ..types import TypeId, Types
+from . import language
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -554,3 +555,40 @@ def unused_outputs(t):
 @query(f"{EDGES}, s as (select 'world' as node union select e.dst from s join e on s.node = e.src) select node from s where node <> 'world'")
 def trace_lineage(t):
     return lineage.trace(edges(t), "world")
+
+
+# Programs
+
+
+PROGRAM = """
+stage SQUARE(in float x, out float y, src py "square")
+stage TOTAL(in float[] xs, out float sum, src py "total")
+pipeline SUM_SQUARES(in float[] xs, in bool off, out float sum, out float[] each)
+{
+    map call SQUARE(x = split self.xs)
+    call TOTAL(xs = SQUARE.y) using (disabled = self.off)
+    return (sum = TOTAL.sum, each = SQUARE.y)
+}
+pipeline BY_KIND(in map<float[]> sets, in bool off, out map<float> sums)
+{
+    map call SUM_SQUARES(xs = split self.sets, off = self.off)
+    return (sums = SUM_SQUARES.sum)
+}
+"""
+BODIES = {"SQUARE": lambda x: {"y": x * x}, "TOTAL": lambda xs: {"sum": stats.total(xs)}}
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then null else sum(l_quantity * l_quantity) end as sum, count(*) as n from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_orderstatus")
+def program_sum_squares(t):
+    program, _ = language.load(PROGRAM, BODIES)
+    held = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderstatus").agg(F.collect_list("l_quantity").alias("xs"))
+    held = held.withColumn("off", F.col("o_orderstatus") == "F")
+    return program.apply("SUM_SQUARES", held, keep=("o_orderkey",)).select("o_orderkey", "sum", F.size("each").cast("long").alias("n"))
+
+
+@query("select l_orderkey, l_returnflag as kind, sum(l_quantity * l_quantity) as sum from lineitem group by all")
+def program_mapped_pipeline(t):
+    program, _ = language.load(PROGRAM, BODIES)
+    kinds = t("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list("l_quantity").alias("q"))
+    held = kinds.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "q"))).alias("sets")).withColumn("off", F.lit(False))
+    return program.apply("BY_KIND", held, keep=("l_orderkey",)).select("l_orderkey", F.explode("sums").alias("kind", "sum"))
