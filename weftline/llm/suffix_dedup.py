@@ -219,45 +219,55 @@ def _ask_pieces(pieces: list[bytes], hashes: np.ndarray, docs: np.ndarray, bucke
         if x < y:
             sizes = np.array([len(p) for p in pieces[x:y]], "<u4").tobytes()
             parts = np.searchsorted(hashes[x:y], _bounds(buckets * PARTS)[b * PARTS : (b + 1) * PARTS]).astype("<q")
-            yield b, struct.pack("<q", y - x) + parts.tobytes() + squeeze.compress(sizes + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
+            yield b, struct.pack("<q", y - x) + parts.tobytes() + squeeze.compress(sizes + hashes[x:y].astype("<u4").tobytes() + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
 
 
-def _read_pieces(blob: bytes) -> tuple[list[bytes], np.ndarray, list[int]]:
-    """Pieces, their docs, and the places where the bucket's parts begin and end."""
+def _read_pieces(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray, list[int]]:
+    """Pieces, 32 bits of their minimizers, their docs, and the places where the bucket's parts begin and end."""
     n, *parts = struct.unpack_from(f"<{1 + PARTS}q", blob)
     raw = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * PARTS :])
     ends = np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)).tolist()
-    docs = unpack_docs(raw[4 * n :], n)
-    at = 4 * n + 9 + n * raw[4 * n]
-    return [raw[at + a : at + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], docs, [*parts, n]
+    names = np.frombuffer(raw, "<u4", n, 4 * n).tolist()
+    docs = unpack_docs(raw[8 * n :], n)
+    at = 8 * n + 9 + n * raw[8 * n]
+    return [raw[at + a : at + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], names, docs, [*parts, n]
 
 
 def _answers(length: int):
-    def part(asked: list[tuple[list[bytes], list[int]]]) -> Iterator[np.ndarray]:
+    def part(asked: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator[np.ndarray]:
         """For each block the bits of its pieces in one part."""
         places: dict[bytes, int] = {}
         least: list[int] = []
+        names: list[int] = []
         owns = []
-        for pieces, docs in asked:
+        for pieces, own_names, docs in asked:
             own = []
-            for piece, doc in zip(pieces, docs, strict=True):
+            for piece, name, doc in zip(pieces, own_names, docs, strict=True):
                 at = places.setdefault(piece, len(least))
                 if at == len(least):
                     least.append(doc)
+                    names.append(name)
                 elif doc < least[at]:
                     least[at] = doc
                 own.append(at)
             owns.append(own)
-        found = least_docs(list(places), np.array(least, np.int64), length)
-        for own, (_, docs) in zip(owns, asked, strict=True):
-            yield np.concatenate([found[at] < doc for at, doc in zip(own, docs, strict=True)]) if own else np.zeros(0, bool)
+        # a piece that no other shares its minimizer with shares no string with any
+        _, inverse, counts = np.unique(np.array(names, np.uint32), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[inverse] > 1).tolist()
+        distinct = list(places)
+        found: list = [None] * len(distinct)
+        for at, got in zip(several, least_docs([distinct[i] for i in several], np.array(least, np.int64)[several], length), strict=True):
+            found[at] = got
+        for own, (pieces, _, docs) in zip(owns, asked, strict=True):
+            bits = [np.full(len(p) - length + 1, least[at] < doc) if found[at] is None else found[at] < doc for p, at, doc in zip(pieces, own, docs, strict=True)]
+            yield np.concatenate(bits) if bits else np.zeros(0, bool)
 
     def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         read = [_read_pieces(blob) for _, blob in held]
         bits: list[list[np.ndarray]] = [[] for _ in held]
         for k in range(PARTS):
-            asked = [(pieces[cuts[k] : cuts[k + 1]], docs[cuts[k] : cuts[k + 1]].tolist()) for pieces, docs, cuts in read]
-            if any(pieces for pieces, _ in asked):
+            asked = [(pieces[cuts[k] : cuts[k + 1]], names[cuts[k] : cuts[k + 1]], docs[cuts[k] : cuts[k + 1]].tolist()) for pieces, names, docs, cuts in read]
+            if any(pieces for pieces, _, _ in asked):
                 for into, got in zip(bits, part(asked), strict=True):
                     into.append(got)
         squeeze = zstandard.ZstdCompressor(level=3)
