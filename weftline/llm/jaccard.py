@@ -43,7 +43,7 @@ from .common import emit, pick, shared_table, text_rows
 K, SIMILARITY = 5, 0.8
 MINHASHES = 96
 RECALL = 0.999
-LEAF, VERIFY, DEPTH = 1024, 256, 3
+LEAF, VERIFY, DEPTH = 4096, 256, 3
 MARGIN = 0.15
 NO_ID = blocks.NO_ID
 
@@ -95,8 +95,7 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, sid string, tokens binary")
 
 
-_ROWS = pa.schema([("path", pa.int64()), ("sid", pa.string()), ("tokens", pa.binary())])
-_ROWS_DDL = "path long, sid string, tokens binary"
+_ROWS = pa.schema([("bucket", pa.int64()), ("sid", pa.string()), ("sketch", pa.binary())])
 
 
 def _children(path: int, tokens: np.ndarray, chance: float) -> Iterator[int]:
@@ -108,19 +107,20 @@ def _children(path: int, tokens: np.ndarray, chance: float) -> Iterator[int]:
 
 
 def split(rows: DataFrame, roots: int | None, similarity: float) -> DataFrame:
-    """Rows (path, sid, tokens) one level down; from the roots of as many runs where ``roots`` is given."""
+    """(bucket, sid, sketch) of (path, sid, tokens), one level down; from the roots of as many runs where ``roots`` is given."""
     chance = 1 / (similarity * MINHASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for path, sid, raw in blocks.row_tuples(batches):
                 tokens = np.frombuffer(raw, np.uint32)
+                sketch = tokens.astype(np.uint8).tobytes()
                 for p in [path] if roots is None else range(1, roots + 1):
-                    yield from ((c, sid, raw) for c in _children(p, tokens, chance))
+                    yield from ((c, sid, sketch) for c in _children(p, tokens, chance))
 
-        return emit(_ROWS, out(), lambda r: len(r[2]) + 48)
+        return emit(_ROWS, out(), lambda r: 160)
 
-    return rows.mapInArrow(run, _ROWS_DDL)
+    return rows.mapInArrow(run, "bucket long, sid string, sketch binary")
 
 
 def _forest(same: np.ndarray) -> list[tuple[int, int]]:
@@ -138,34 +138,43 @@ def _forest(same: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(rows: DataFrame, similarity: float, partitions: int) -> DataFrame:
-    """(a, b): spanning forests of the buckets (bucket, sid, sketch) at a similarity lower by MARGIN."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+def compare(rows: DataFrame, similarity: float, leaf: int | None, partitions: int) -> DataFrame:
+    """(a, b, bucket) of rows (bucket, sid, sketch), dealt once by bucket.
+
+    A bucket of at most ``leaf`` rows gives a spanning forest (a, b) of its sets at
+    a similarity lower by MARGIN. The rows of a larger one come back as (a, null,
+    bucket), without being held.
+    """
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("bucket", pa.int64())])
     least = int((similarity - MARGIN) * MINHASHES)
 
     def bucket(held: list[tuple]) -> Iterator[tuple]:
-        names = sorted({s: t for s, t in held}.items())
+        names = sorted(dict(held).items())
         if len(names) < 2:
             return
         m = np.frombuffer(b"".join(t for _, t in names), np.uint8).reshape(len(names), -1)
         same = np.zeros((len(m), len(m)), bool)
         for i in range(len(m)):
             same[i] = np.count_nonzero(m == m[i], axis=1) >= least
-        yield from ((names[a][0], names[b][0]) for a, b in _forest(same))
+        yield from ((names[a][0], names[b][0], None) for a, b in _forest(same))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
-            now, held = None, []
+            now, held, large = None, [], False
             for key, sid, sketch in blocks.row_tuples(batches):
                 if key != now:
                     yield from bucket(held)
-                    now, held = key, []
+                    now, held, large = key, [], False
                 held.append((sid, sketch))
+                if large or leaf is not None and len(held) > leaf:
+                    large = True
+                    yield from ((s, None, key) for s, _ in held)
+                    held = []
             yield from bucket(held)
 
         return emit(schema, out())
 
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a string, b string")
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a string, b string, bucket long")
 
 
 def tiled(rows: DataFrame, key: str, size: str, leaf: int, name: str) -> DataFrame:
@@ -178,35 +187,35 @@ def tiled(rows: DataFrame, key: str, size: str, leaf: int, name: str) -> DataFra
 
 
 def tight(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path) of the buckets whose sets are as similar on average as asked, by 8 of their token places."""
-    places = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("tokens", 4 * i * (MINHASHES // 8) + 1, 4).alias("v")) for i in range(8)))
-    counts = rows.select("path", "n", F.explode(places).alias("p")).groupBy("path", "n", "p").count()
-    return counts.groupBy("path", "n").agg(F.sum(F.col("count").cast("double") ** 2).alias("c")).where(F.col("c") >= 8 * similarity * F.col("n") * F.col("n")).select("path")
+    """(path) of the buckets (path, sid, tokens) whose sets are on average nearly as similar to one of them as asked."""
+    pivot = rows.groupBy("path").agg(F.min_by("tokens", "sid").alias("pivot"))
+    alike = sum((F.substring("tokens", 4 * i + 1, 4) == F.substring("pivot", 4 * i + 1, 4)).cast("int") for i in range(MINHASHES))
+    return rows.join(pivot, "path").groupBy("path").agg(F.avg(alike).alias("alike")).where(F.col("alike") >= 0.9 * similarity * MINHASHES).select("path")
 
 
 def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(a, b): links between sets found by the runs."""
     partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketch = F.expr(f"unhex(array_join(transform(sequence(0, {MINHASHES - 1}), i -> hex(substring(tokens, 4 * i + 1, 1))), ''))")
-    rows = split(reps.select(F.lit(0).cast("long").alias("path"), "sid", "tokens"), runs_for(recall), similarity)
+    tokens = reps.select("sid", "tokens")
+    rows = split(tokens.select(F.lit(0).cast("long").alias("path"), "sid", "tokens"), runs_for(recall), similarity)
     edges = None
     for depth in range(1, DEPTH + 1):
-        rows = shared_table(rows, "paths") if depth > 1 else rows
-        sizes = shared_table(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        large = rows.join(sizes.where(F.col("n") > LEAF), "path")
-        done = rows.join(sizes.where(F.col("n") <= LEAF), "path") if depth < DEPTH else rows.join(sizes, "path")
-        none = sizes.where(F.col("n") > LEAF).isEmpty()
-        if depth < DEPTH and not none:
-            full = shared_table(tight(large, similarity), "tight")
-            done = done.unionByName(large.join(full, "path", "left_semi"))
-            rest = large.join(full, "path", "left_anti")
-        got = compare(tiled(done, "path", "n", LEAF, "bucket").select("bucket", "sid", "sketch" if "sketch" in done.columns else sketch.alias("sketch")), similarity, partitions)
-        got = shared_table(got.distinct(), "links")
-        edges = got if edges is None else edges.unionByName(got)
-        if none or depth == DEPTH:
+        got = shared_table(compare(rows, similarity, LEAF, partitions), "compared")
+        found = got.where("b is not null").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        if got.where("b is null").isEmpty():
+            break
+        large = shared_table(got.where("b is null").select(F.col("bucket").alias("path"), F.col("a").alias("sid")).join(tokens, "sid").select("path", "sid", "tokens"), "large")
+        full = large.select("path").distinct() if depth == DEPTH else shared_table(tight(large, similarity), "tight")
+        done = large.join(full, "path", "left_semi")
+        sized = done.join(done.groupBy("path").agg(F.count("*").alias("n")), "path")
+        sketch = F.expr(f"unhex(array_join(transform(sequence(0, {MINHASHES - 1}), i -> hex(substring(tokens, 4 * i + 1, 1))), ''))")
+        tiles = tiled(sized, "path", "n", LEAF, "tile").select(F.xxhash64("tile").alias("bucket"), "sid", sketch.alias("sketch"))
+        edges = edges.unionByName(shared_table(compare(tiles, similarity, None, partitions), "tiles").select("a", "b"))
+        if depth == DEPTH:
             break
-        rows = split(rest.select("path", "sid", "tokens"), None, similarity)
-    return edges
+        rows = split(large.join(full, "path", "left_anti"), None, similarity)
+    return edges.distinct()
 
 
 def verify(members: DataFrame, docs: DataFrame, similarity: float, partitions: int) -> tuple[DataFrame, DataFrame]:
