@@ -2,11 +2,12 @@
 
 Three patterns find assignments, access keys and hexadecimal strings. Beside
 them, the token-efficiency test looks at runs of 20 or more characters out of
-``A-Za-z0-9+/_=-`` that mix digits and letters: text that a vocabulary has
-learned gives many characters a token, a random string few. Runs with under
-EFFICIENCY characters a token are reported as ``random``, unless they are known
-digests (hexadecimal of a digest's length, UUIDs), identifiers (words and
-numbers joined by ``_``, ``-`` or ``/``) or overlap a base span.
+``A-Za-z0-9+/_=-``: text that a vocabulary has learned gives many characters a
+token, a random string few. Runs with under EFFICIENCY characters a token are
+reported as ``random``, unless they are known digests (hexadecimal of a digest's
+length, UUIDs), identifiers (words and numbers joined by ``_``, ``-`` or ``/``,
+where the words alone have KNOWN characters a token or more, or there are none)
+or overlap a base span.
 
 Spans are in code points, end exclusive. Null and empty texts have no spans.
 Repeated rows give equal rows; a null id stays null.
@@ -32,8 +33,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Characters a token under which a run counts as random.
 EFFICIENCY = 2.0
+#: Characters a token from which an identifier's letters count as words.
+KNOWN = 2.5
 #: Hexadecimal lengths of CRC-64 to SHA-512 digests.
 DIGESTS = {16, 32, 40, 48, 56, 64, 96, 128}
+LETTERS = re.compile(r"[A-Za-z]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 IDENTIFIER = re.compile(r"([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})([_/-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[_/=-]*")
 
@@ -64,19 +68,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def is_identifier(run: str, vocab) -> bool:
+    """Whether a run is numbers and words that the vocabulary has learned."""
+    parts = LETTERS.findall(run) if IDENTIFIER.fullmatch(run) else [run]
+    return sum(map(len, parts)) >= KNOWN * sum(len(vocab.encode_ordinary(p)) for p in parts)
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], vocab, efficiency: float) -> list[tuple[str, int, int]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0].strip("=-_/+")
         a = m.start() + m[0].index(run) if run else m.start()
         b = a + len(run)
-        if len(run) < 20 or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(a < y and x < b for _, x, y in base) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if len(run) < 20 or any(a < y and x < b for _, x, y in base) or UUID.fullmatch(run):
             continue
         if len(run) in DIGESTS and all(c in "0123456789abcdefABCDEF" for c in run):
             continue
-        if len(run) < efficiency * len(vocab.encode_ordinary(run)):
+        if len(run) < efficiency * len(vocab.encode_ordinary(run)) and not is_identifier(run, vocab):
             found.append(("random", a, b))
     return found
 
