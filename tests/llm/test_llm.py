@@ -274,6 +274,42 @@ def test_jaccard_join(spark, rows, monkeypatch, leaf):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()) == want
 
 
+def test_jaccard_recall_in_templated_groups(spark, monkeypatch):
+    """Pairs of similarity 0.8 in groups far larger than LEAF that share half their text."""
+    monkeypatch.setattr(jaccard, "LEAF", 32)
+    draw = np.random.Generator(np.random.PCG64(11))
+    words = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 1 << 40, n))
+    data = []
+    for _ in range(4):
+        template = words(154)
+        for _ in range(600):
+            own = words(50)
+            data += [f"{template} {own} {words(25)}", f"{template} {own} {words(25)}"]
+    sets = [frozenset(jaccard.shingles(t).tolist()) for t in data]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert set(alike) == {0.8} and len(sets[0] & sets[2]) == 0.5 * len(sets[0] | sets[2])
+    got = jaccard.join(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).where("n_links > 0")
+    assert got.where("n_links > 1 or class_id <> doc_id - doc_id % 2").isEmpty()
+    assert got.count() >= 0.999 * len(data), got.count()
+
+
+def test_jaccard_runs_sample_at_every_depth():
+    """A pair that shares 0.8 of its tokens meets at the last depth as often as asked, also where every bucket is split."""
+    draw = np.random.Generator(np.random.PCG64(7))
+    runs = jaccard.runs_for(0.999, 0.8)
+    a = draw.integers(0, 1 << 32, (20_000, jaccard.MINHASHES), np.uint32)
+    b = np.where(draw.random(a.shape) < 0.8, a, a + np.uint32(1))
+
+    def bottom(run, tokens):
+        path = run
+        for depth in range(1, jaccard.DEPTH + 1):
+            path = jaccard._child(path, run, runs, depth, tokens)
+        return path
+
+    missed = sum(all(bottom(r, x) != bottom(r, y) for r in range(runs)) for x, y in zip(a, b, strict=True))
+    assert missed <= 0.001 * len(a) + 10
+
+
 def test_one_of_each_drops_repeated_rows(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "other words", None)], "doc_id long, text string, sid string")

@@ -5,14 +5,16 @@ all its words). Documents of one set are copies: a representative stands for the
 
 1. Every representative gets MINHASHES minhash tokens; the join runs on these
    token sets, whose overlap estimates the Jaccard similarity.
-2. A run splits the sets recursively: a node of its tree samples each token
-   place with probability 1 / (SIMILARITY * MINHASHES), and the sets of the node
-   that share the token there go to one child. Buckets of at most LEAF sets are
-   compared in full. Larger ones are split further, or, where their sets are as
-   similar on average as the join asks, compared in full by pairs of LEAF-sized
-   groups. Two sets at the threshold meet in a run with a probability of at least
-   1 - 1/e at depth 1; RUNS runs give the target recall, and more where a pair is
-   more similar.
+2. A run splits the sets recursively: a node of its tree samples one token place
+   by its own hash, and the sets of the node that share the token there go to one
+   child. Buckets of at most LEAF sets are compared in full. Larger ones are split
+   further, or, where their sets are as similar on average as the join asks or at
+   depth DEPTH, compared in full by pairs of LEAF-sized groups. Runs and depths
+   sample from places of their own, so two sets at the threshold s stay together
+   down to depth d with a probability of s^d, whatever happens in other runs; the
+   runs give the target recall at depth DEPTH, and more where a pair is more
+   similar or its buckets are small earlier. (Where MINHASHES places are too few
+   for that, at thresholds below about 0.6, runs share places.)
 3. Comparisons in a bucket use 8 bits of each token and a threshold lower by
    MARGIN; a bucket gives a spanning forest of its similar sets, not all pairs.
 4. Sets that are linked so, over all runs, form loose groups. Within them every
@@ -45,12 +47,13 @@ MINHASHES = 96
 RECALL = 0.999
 LEAF, VERIFY, DEPTH = 4096, 256, 3
 MARGIN = 0.15
+RUN_BITS = 14
 NO_ID = blocks.NO_ID
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability at depth 1."""
-    return math.ceil(math.log(1 - recall) / -1)
+def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has met with this probability, even if all its buckets are split down to this depth."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(similarity**depth))) if similarity < 1 else 1
 
 
 def shingles(text: str, k: int = K) -> np.ndarray:
@@ -98,25 +101,25 @@ def sets(docs: DataFrame) -> DataFrame:
 _ROWS = pa.schema([("bucket", pa.int64()), ("sid", pa.string()), ("sketch", pa.binary())])
 
 
-def _children(path: int, tokens: np.ndarray, chance: float) -> Iterator[int]:
-    """Paths of the children that a set goes to; the node's own hash decides which places it samples."""
-    rng = xxhash.xxh64_intdigest(path.to_bytes(8, "little", signed=True))
-    draw = rolling.mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rng))
-    for i in np.flatnonzero(draw < np.uint64(int(chance * 2**64))).tolist():
-        yield xxhash.xxh64_intdigest(b"%d:%d:%d" % (path, i, int(tokens[i]))) - (1 << 63)
+def _child(path: int, run: int, runs: int, depth: int, tokens: np.ndarray) -> int:
+    """Path of the child at this depth that a set goes to; the node's own hash decides which place it samples. The last bits name the run."""
+    places = range(((depth - 1) * runs + run) % len(tokens), len(tokens), runs * DEPTH)
+    i = places[xxhash.xxh64_intdigest(path.to_bytes(8, "little")) % len(places)]
+    return xxhash.xxh64_intdigest(b"%d:%d:%d" % (path, i, int(tokens[i]))) >> 1 + RUN_BITS << RUN_BITS | run
 
 
-def split(rows: DataFrame, roots: int | None, similarity: float) -> DataFrame:
-    """(bucket, sid, sketch) of (path, sid, tokens), one level down; from the roots of as many runs where ``roots`` is given."""
-    chance = 1 / (similarity * MINHASHES)
+def split(rows: DataFrame, depth: int, runs: int) -> DataFrame:
+    """(bucket, sid, sketch) of (path, sid, tokens), down to this depth; depth 1 begins as many runs for every row."""
+    if runs > 1 << RUN_BITS:
+        raise ValueError(f"{runs} runs; at most {1 << RUN_BITS} have numbers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for path, sid, raw in blocks.row_tuples(batches):
                 tokens = np.frombuffer(raw, np.uint32)
                 sketch = tokens.astype(np.uint8).tobytes()
-                for p in [path] if roots is None else range(1, roots + 1):
-                    yield from ((c, sid, sketch) for c in _children(p, tokens, chance))
+                for r in range(runs) if depth == 1 else [path & (1 << RUN_BITS) - 1]:
+                    yield _child(r if depth == 1 else path, r, runs, depth, tokens), sid, sketch
 
         return emit(_ROWS, out(), lambda r: 160)
 
@@ -197,7 +200,8 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(a, b): links between sets found by the runs."""
     partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = reps.select("sid", "tokens")
-    rows = split(tokens.select(F.lit(0).cast("long").alias("path"), "sid", "tokens"), runs_for(recall), similarity)
+    runs = runs_for(recall, similarity)
+    rows = split(tokens.select(F.lit(0).cast("long").alias("path"), "sid", "tokens"), 1, runs)
     edges = None
     for depth in range(1, DEPTH + 1):
         got = shared_table(compare(rows, similarity, LEAF, partitions), "compared")
@@ -214,7 +218,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
         edges = edges.unionByName(shared_table(compare(tiles, similarity, None, partitions), "tiles").select("a", "b"))
         if depth == DEPTH:
             break
-        rows = split(large.join(full, "path", "left_anti"), None, similarity)
+        rows = split(large.join(full, "path", "left_anti"), depth + 1, runs)
     return edges.distinct()
 
 
