@@ -329,6 +329,23 @@ def test_decontamination(spark):
     assert decontam.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_items(spark):
+    """Shingles that many items hold weigh little, and an edit of a passage of them no more."""
+    item = [f"word{i}" for i in range(30)]
+    other = [f"term{i}" for i in range(30)]
+    own = [f"own{i}" for i in range(30)]
+    texts = [(i, " ".join(item)) for i in range(10)] + [(10, " ".join(own)), (11, " ".join(other[:29] + own[:1])), (12, " ".join(other))]
+    docs = [(1, " ".join(item[:29] + ["edit"])), (2, " ".join(own[:20] + item[:10]))]
+    bench = spark.createDataFrame(texts, "item_id long, text string")
+    df = spark.createDataFrame([*docs, (3, " ".join(other[:28] + ["edit", "edit"]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.find(df, bench).collect()}
+    # 24 common shingles weigh 1/2; (11) and (12) hold another such and one of their own; two of the window are in no item and weigh the mean
+    third = round(12 / (13.5 + 2 * 13.5 / 26), 6)
+    assert {p: s for p, s in got.items() if p[0] == 1} == {(1, i): round(25 / 27, 6) for i in range(10)}
+    assert {p for p in got if p[0] == 2} == set() and {p[1] for p in got if p[0] == 3} == {11, 12}
+    assert all(abs(got[3, i] - third) < 1e-5 for i in (11, 12))
+
+
 # Personal data
 
 

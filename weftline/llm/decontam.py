@@ -8,7 +8,8 @@ SimHash is taken over its shingles; fingerprints are cut into RADIUS + 1 blocks,
 and windows and items of one size that share a block are candidates: by the
 pigeonhole principle these are all within RADIUS bits. Those within it are
 verified by the exact weighted Jaccard similarity of their shingles, where a
-shingle that d items hold weighs 1 / d.
+shingle that d items hold weighs 1 / d, and one outside the pair's item no more
+than the item's shingles do on average (as much where no item holds it).
 
 Words are lower-cased and split at white space. A window that would begin before
 its document or end behind it is moved inside, and is shorter where the document
@@ -103,8 +104,12 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float =
     near = left.join(right, ["k", "size", "b"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     near = near.select("k", "size", "content", "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
     held = near.join(prints.select("k", "size", "content", "win"), ["k", "size", "content"]).join(known.select("k", "size", "item_id", "iw"), ["k", "size", "item_id"])
+    # weights of the windows' shingles that any item holds
+    seen = near.select("k", "size", "content").distinct().join(prints.select("k", "size", "content", F.explode(F.array_distinct("win")).alias("h")), ["k", "size", "content"])
+    rated = seen.join(df, ["k", "h"]).groupBy("k", "size", "content").agg(F.map_from_entries(F.collect_list(F.struct("h", 1.0 / F.col("count")))).alias("ww"))
+    held = held.join(rated, ["k", "size", "content"], "left").withColumn("mean", F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * x.c) / aggregate(iw, 0, (a, x) -> a + x.c)"))
     both = F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * least(x.c, size(filter(win, y -> y = x.h))))")
-    either = F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * greatest(x.c, size(filter(win, y -> y = x.h)))) + size(filter(win, y -> not exists(iw, x -> x.h = y)))")
+    either = F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * greatest(x.c, size(filter(win, y -> y = x.h)))) + aggregate(filter(win, y -> not exists(iw, x -> x.h = y)), 0D, (a, y) -> a + least(mean, coalesce(ww[y], 1D)))")
     good = held.select("k", "size", "content", "item_id", "distance", (both / either).alias("similarity")).where(F.col("similarity") >= similarity)
     found = windows.select("doc_id", "text_hash", "k", "size", "start", "content").distinct().join(good, ["k", "size", "content"])
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "size", "distance")).alias("b")
