@@ -346,6 +346,16 @@ def test_decontamination_of_repeated_items(spark):
     assert all(abs(got[3, i] - third) < 1e-5 for i in (11, 12))
 
 
+def test_decontamination_of_items_that_share_an_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in ("word", "term", "own"))
+    bench = spark.createDataFrame([(7, one), (7, two), (7, two.upper()), (None, three), (None, "short one"), (8, one)], "item_id long, text string")
+    docs = [(1, f"a {one}"), (2, two), (3, f"{three} b"), (4, "a short one"), (5, "nothing here"), (6, f"{one} {two}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontam.find(df, bench).collect())
+    assert got == Counter([(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (3, None, 1.0), (4, None, 1.0), (6, 7, 1.0), (6, 8, 1.0)])
+    assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [5]
+
+
 # Personal data
 
 

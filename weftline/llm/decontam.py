@@ -15,6 +15,9 @@ Words are lower-cased and split at white space. A window that would begin before
 its document or end behind it is moved inside, and is shorter where the document
 is. A pair keeps its most similar window, the first one of equals. Equal windows
 are fingerprinted and verified once, so copies of a passage cost one row each.
+An item is an item_id and the shingles of a text: different texts of one item_id
+are compared each by itself, and a document's pair with the item_id is the most
+similar one. A null item_id counts as one and is reported as null.
 Null and empty texts have no windows and no shingles; empty tables give an empty
 result; repeated (doc_id, text) rows give one row, equal doc_ids with different
 texts one row for the more similar one; a null doc_id is reported as null.
@@ -59,14 +62,15 @@ def blocks_of(fingerprint: Column, radius: int) -> Column:
 
 
 def items(benchmark: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, k, n, s) of the items with words; repeated rows once."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    """(item, item_id, k, n, s) of the items with words, by item; rows of one item_id and equal shingles once."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     sized = rows.withColumn("k", F.least(F.lit(k), F.size(words(F.col("text")))))
     out = None
     for size in range(1, k + 1):
         part = with_shingles(sized.where(F.col("k") == size), size).select("item_id", "k", "n", "s")
         out = part if out is None else out.unionByName(part)
-    return out
+    shown = F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), F.col("k").cast("string"), F.array_join(F.transform("s", lambda h: h.cast("string")), ","))
+    return out.select(F.sha2(shown, 256).alias("item"), "item_id", "k", "n", "s").dropDuplicates(["item"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +78,7 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float =
     spark = docs.sparkSession
     docs = pick(docs, id_col, text_col)
     bench = shared_table(items(benchmark, k), "items")
-    places = bench.select("item_id", "k", "n", F.posexplode("s").alias("at", "h"))
+    places = bench.select("k", "n", F.posexplode("s").alias("at", "h"))
     total, sizes = places.agg(F.count("*"), F.sort_array(F.collect_set("k"))).first()  # at most k sizes
     # a shingle's places within items of one size lead to the same windows
     laid = places.select("k", "h", F.col("n").alias("size"), "at").distinct()
@@ -95,15 +99,15 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float =
     prints = shared_table(once.withColumn("f", simhash("win")), "prints")
     # items' fingerprints and weights
     df = bench.select("k", F.explode(F.array_distinct("s")).alias("h")).groupBy("k", "h").count()
-    weighed = bench.select("item_id", "k", F.col("n").alias("size"), "s", F.explode(F.array_distinct("s")).alias("h")).join(df, ["k", "h"])
+    weighed = bench.select("item", "item_id", "k", F.col("n").alias("size"), "s", F.explode(F.array_distinct("s")).alias("h")).join(df, ["k", "h"])
     entry = F.struct("h", (1.0 / F.col("count")).alias("w"), F.expr("size(filter(s, x -> x = h))").alias("c"))
-    known = shared_table(weighed.groupBy("item_id", "k", "size").agg(F.first("s").alias("s"), F.collect_list(entry).alias("iw")).withColumn("g", simhash("s")), "known")
+    known = shared_table(weighed.groupBy("item", "k", "size").agg(F.first("item_id").alias("item_id"), F.first("s").alias("s"), F.collect_list(entry).alias("iw")).withColumn("g", simhash("s")), "known")
     # multi-index: equal blocks, then the whole distance
     left = prints.select("k", "size", "content", "f", F.explode(blocks_of(F.col("f"), radius)).alias("b"))
-    right = known.select("k", "size", "item_id", "g", F.explode(blocks_of(F.col("g"), radius)).alias("b"))
+    right = known.select("k", "size", "item", "g", F.explode(blocks_of(F.col("g"), radius)).alias("b"))
     near = left.join(right, ["k", "size", "b"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-    near = near.select("k", "size", "content", "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
-    held = near.join(prints.select("k", "size", "content", "win"), ["k", "size", "content"]).join(known.select("k", "size", "item_id", "iw"), ["k", "size", "item_id"])
+    near = near.select("k", "size", "content", "item", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
+    held = near.join(prints.select("k", "size", "content", "win"), ["k", "size", "content"]).join(known.select("k", "size", "item", "item_id", "iw"), ["k", "size", "item"])
     # weights of the windows' shingles that any item holds
     seen = near.select("k", "size", "content").distinct().join(prints.select("k", "size", "content", F.explode(F.array_distinct("win")).alias("h")), ["k", "size", "content"])
     rated = seen.join(df, ["k", "h"]).groupBy("k", "size", "content").agg(F.map_from_entries(F.collect_list(F.struct("h", 1.0 / F.col("count")))).alias("ww"))
