@@ -392,6 +392,18 @@ def test_pii_bootstrap(spark):
     assert found[9] == [("context", 18, 26)] and not any(found[i] for i in found if i != 9)
 
 
+def test_pii_bootstrap_from_spaced_numbers_and_one_word(spark):
+    """Phones and cards are whole seeds, new numbers are found whole, and a single word is a pattern after varying words."""
+    data = [(i, f"text{'x' * i} please call me at +1 (269) 555-32{i}6 now") for i in range(5)]
+    data += [(10 + i, f"card no 4111 1111 1111 {n} ok") for i, n in enumerate(("1111", "1129", "1137", "1145"))]
+    data += [(20 + i, f"{w} Email: {w}@mail.org") for i, w in enumerate(("foo", "bar", "baz", "qux"))]
+    data += [(30, "so call me at (269) 555-3296 now"), (31, "card no 4111 1111 1111 1112 x"), (32, "other Email: jd(at)x"), (33, "words Email: jd77 end"), (34, "Email: ab99"), (35, "in 2019 12 of 4111 1111 1111 1112")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(len(got[d].base) == 1 and not got[d].extra for d, _ in data if d < 30)
+    text = dict(data)
+    assert {d: [text[d][s.start : s.end] for s in got[d].extra] for d in range(30, 36)} == {30: ["(269) 555-3296"], 31: ["4111 1111 1111 1112"], 32: [], 33: ["jd77"], 34: ["ab99"], 35: []}
+
+
 # Quality
 
 

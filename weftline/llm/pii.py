@@ -1,9 +1,11 @@
 """Personal data, by base patterns and bootstrapped contextual extraction. DataFrame functions only.
 
 Base patterns find e-mail and IP addresses, card and phone numbers. They are the
-seeds of the bootstrap: the two words before an identifier (a run of letters,
-digits and ``@._%+-`` with a digit in it) are its lexical pattern, and patterns
-and identifiers form a bipartite graph. A pattern's score is the summed score of
+seeds of the bootstrap, each span with its whole value. Other identifiers are, in
+the text outside all base spans, runs of letters, digits and ``@._%+-`` with a
+digit in them, and groups of digits (up to eight) with spaces, slashes or
+parentheses between them. The word and the two words before an identifier are its
+lexical patterns, and patterns and identifiers form a bipartite graph. A pattern's score is the summed score of
 its distinct identifiers over their number + 0.5, an identifier's is 1 if a base
 span holds it, else its best pattern's; ROUNDS rounds spread the scores. Patterns
 count only with SEEDS distinct seeds. Identifiers outside all base spans with a
@@ -33,7 +35,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 CARD = rf"[0-9][0-9{SPACE}{DASH}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IDENTIFIER = r"(?<![A-Za-z0-9@._%+-])[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
+NUMBER = r"\+?(?:[0-9][0-9.-]*+|\([0-9]++\))(?:\x20?\([0-9]++\)|[\x20/]?[0-9][0-9.-]*+){1,7}+(?![A-Za-z0-9@_%+])"
+IDENTIFIER = rf"(?<![A-Za-z0-9@._%+-])(?:{NUMBER}|[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+)"
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -75,9 +78,8 @@ def _with_base(docs: DataFrame) -> DataFrame:
         "p_ip": marked(t, IP, number),
         "p_card": marked(live, CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
         "p_phone": marked(t, PHONE, t.contains("+")),
-        "p_id": marked(t, IDENTIFIER, number),
     })
-    df = df.withColumns({f"e_{k}": sums(F.col(f"p_{k}")) for k in (*KINDS, "id")})
+    df = df.withColumns({f"e_{k}": sums(F.col(f"p_{k}")) for k in KINDS})
     legal = {
         "email": lambda m: F.lit(True),
         "ip": lambda m: m.rlike(rf"^(?:{PART}\.){{3}}{PART}$"),
@@ -90,23 +92,47 @@ def _with_base(docs: DataFrame) -> DataFrame:
         made = F.transform(ok, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
         return F.coalesce(made, F.array().cast("array<struct<kind:string,start:int,end:int>>"))
 
-    return df.withColumn("base", F.concat(*(found(k) for k in KINDS)))
+    df = df.withColumn("base", F.concat(*(found(k) for k in KINDS)))
+    df = df.withColumn("p_id", marked(_without(t, F.col("base")), IDENTIFIER, number))
+    return df.withColumn("e_id", sums(F.col("p_id")))
 
 
-def _identifiers(pieces: Column, ends: Column, base: Column) -> Column:
-    """Identifiers with the two words before them: (start, end, value, pattern, seed)."""
+def _without(text: Column, base: Column) -> Column:
+    """The text with a DEAD for every character of a base span."""
+
+    def step(a: Column, b: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(b["start"] - a["at"], F.lit(0)))
+        dead = F.repeat(F.lit(DEAD), F.greatest(b["end"] - F.greatest(b["start"], a["at"]), F.lit(0)))
+        return F.struct(F.concat(a["out"], gap, dead).alias("out"), F.greatest(a["at"], b["end"]).alias("at"))
+
+    by_start = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, rest))
+
+
+def _patterns(before: Column) -> Column:
+    """The last word and the last two words of what stands before an identifier; none with digits or a base span in them."""
+    low = F.lower(before)
+    two = F.array_join(F.split(F.trim(F.regexp_extract(low, r"(\S++)\s++(\S++)\s++$", 0)), r"\s+"), "\x20")
+    return F.filter(F.array(F.regexp_extract(low, r"(\S++)\s++$", 1), two), lambda p: (p != "") & ~p.rlike(f"[0-9{DEAD}]"))
+
+
+def _identifiers(text: Column, pieces: Column, ends: Column, base: Column) -> Column:
+    """Base spans, and identifiers outside them, that have patterns: (start, end, value, patterns, seed)."""
 
     def one(i: Column) -> Column:
         raw = F.get(pieces, i)
         value = F.regexp_replace(raw, "^[@._%+-]+|[@._%+-]+$", "")
         start = F.get(ends, i) + F.length(raw) - F.length(F.regexp_replace(raw, "^[@._%+-]+", ""))
-        end = start + F.length(value)
-        before = F.regexp_extract(F.lower(F.substring(F.get(pieces, i - 1), -64, 64)), r"(\S++)\s++(\S++)\s++$", 0)
-        seed = F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
-        pattern = F.when((before != "") & ~before.rlike("[0-9]"), F.array_join(F.split(F.trim(before), r"\s+"), " "))
-        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), pattern.alias("pattern"), seed.alias("seed"))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), _patterns(F.substring(F.get(pieces, i - 1), -64, 64)).alias("patterns"), F.lit(False).alias("seed"))
+
+    def seed(b: Column) -> Column:
+        before = F.substring(text, F.greatest(b["start"] - 63, F.lit(1)), F.least(b["start"], F.lit(64)))
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("value"), _patterns(before).alias("patterns"), F.lit(True).alias("seed"))
 
-    return F.filter(F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one), lambda x: x["pattern"].isNotNull() & (F.length(x["value"]) >= 4))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,patterns:array<string>,seed:boolean>>")
+    new = F.when(pieces.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one))
+    return F.filter(F.concat(F.transform(base, seed), F.coalesce(new, none)), lambda x: (F.size(x["patterns"]) > 0) & (x["seed"] | (F.length(x["value"]) >= 4)))
 
 
 def patterns(instances: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) -> DataFrame:
@@ -127,10 +153,10 @@ def patterns(instances: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) ->
 def find(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, extra): arrays of (kind, start, end), the base spans by kind as listed and start."""
     docs = _with_base(pick(df, id_col, text_col))
-    key = F.when(F.col("p_id").isNotNull(), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2("text", 256)))
-    ids = F.when(F.col("p_id").isNotNull(), _identifiers(F.col("p_id"), F.col("e_id"), F.col("base")))
-    held = shared_table(docs.select("doc_id", key.alias("row"), "base", ids.alias("ids")), "identifiers")
-    instances = held.where("row is not null").select("row", F.explode("ids").alias("i")).select("row", "i.*")
+    held = docs.select("doc_id", "text", "base", _identifiers(F.col("t"), F.col("p_id"), F.col("e_id"), F.col("base")).alias("ids"))
+    key = F.when(F.size("ids") > 0, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2("text", 256)))
+    held = shared_table(held.select("doc_id", key.alias("row"), "base", "ids"), "identifiers")
+    instances = held.where("row is not null").select("row", F.explode("ids").alias("i")).select("row", "i.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     good = patterns(instances).where(F.col("score") >= threshold).select("pattern")
     new = instances.where("not seed").join(good, "pattern", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("extra"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
