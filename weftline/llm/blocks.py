@@ -25,6 +25,8 @@ from .common import emit, pick, shared_table, text_rows
 
 #: Text bytes in a block.
 BLOCK_BYTES = 4 << 20
+#: Buckets that a task answers, one after the other.
+BUCKETS = 4
 
 #: doc_ids of a block (a null one counts as the largest), and its texts' bytes and ends.
 Block = tuple[np.ndarray, bytes, np.ndarray]
@@ -70,7 +72,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
     return shared_table(pick(df, id_col, text_col).mapInArrow(run, "block long, n_bytes long, body binary"), "blocks")
 
 
-def ask(source: DataFrame, questions: Callable[[tuple], Iterator[tuple[int, bytes]]], answers: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]], buckets: int, partitions: int) -> DataFrame:
+def ask(source: DataFrame, questions: Callable[[tuple], Iterator[tuple[int, bytes]]], answers: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]], partitions: int) -> DataFrame:
     """(block, answers: array of (bucket, blob)) for the blocks that got any.
 
     source: (block, ...); questions(row) gives (bucket, blob) of one block. answers(bucket,
@@ -117,31 +119,33 @@ def bucket_count(total_bytes: int, per: int) -> int:
     return max(1, -(-total_bytes // per))
 
 
+def partition_count(df: DataFrame, buckets: int) -> int:
+    """Tasks that answer: BUCKETS a task, so that a task's size stays as it is when the input grows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS))
+
+
 def delta(values: np.ndarray) -> bytes:
-    """Sorted unsigned integers as bytes: differences, each in as few bytes as it needs, by byte planes."""
-    d = np.diff(values, prepend=values.dtype.type(0))
-    width = np.ones(len(d), np.uint8)
-    for k in range(1, 8):
-        if not len(over := np.flatnonzero(d >> np.uint64(8 * k))):
-            break
-        width[over] += 1
-    top = int(width.max()) if len(d) else 0
-    parts = [struct.pack("<qB", len(d), top)]
-    if top > 1:
-        parts.append(np.packbits((width[:, None] > np.arange(1, top)).ravel()).tobytes())
-    raw = d.astype("<u8").view(np.uint8).reshape(-1, 8)
-    keep = np.arange(8)[None, :] < width[:, None]
-    return b"".join([*parts, raw[keep].tobytes()])
+    """Sorted unsigned integers as bytes: Rice codes of their differences, the quotients in unary, the rest in as many bits as their mean has."""
+    n = len(values)
+    if not n:
+        return struct.pack("<qBq", 0, 0, 0)
+    d = np.empty(n, np.uint64)
+    d[0], d[1:] = values[0], values[1:] - values[:-1]
+    k = max(0, (int(values[-1]) // n).bit_length() - 1)
+    ends = np.cumsum((d >> np.uint64(k)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    low = np.unpackbits(d.astype("<u8").view(np.uint8).reshape(n, 8)[:, : -(-k // 8)], axis=1, count=k, bitorder="little") if k else d[:0].view(np.uint8)
+    return struct.pack("<qBq", n, k, len(unary)) + np.packbits(unary).tobytes() + np.packbits(low).tobytes()
 
 
 def undelta(blob: bytes) -> np.ndarray:
-    n, top = struct.unpack_from("<qB", blob)
-    at = 9
-    width = np.ones(n, np.int64)
-    if top > 1:
-        size = -(-n * (top - 1) // 8)
-        width += np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n * (top - 1)).reshape(n, top - 1).sum(1, dtype=np.int64)
-        at += size
-    raw = np.zeros((n, 8), np.uint8)
-    raw[np.arange(8)[None, :] < width[:, None]] = np.frombuffer(blob, np.uint8, -1, at)
-    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64)
+    n, k, size = struct.unpack_from("<qBq", blob)
+    unary = np.unpackbits(np.frombuffer(blob, np.uint8, -(-size // 8), 17), count=size)
+    d = np.diff(np.flatnonzero(unary), prepend=-1).astype(np.uint64) - np.uint64(1)
+    if k:
+        raw = np.zeros((n, 8), np.uint8)
+        low = np.unpackbits(np.frombuffer(blob, np.uint8, -1, 17 + -(-size // 8)), count=n * k).reshape(n, k)
+        raw[:, : -(-k // 8)] = np.packbits(low, axis=1, bitorder="little")
+        d = d << np.uint64(k) | raw.view("<u8").ravel()
+    return np.cumsum(d, dtype=np.uint64)

@@ -4,11 +4,12 @@ A window is ``window`` consecutive words (maximal runs of characters other than
 space, \\t, \\n, \\v, \\f, \\r) of one document. A word goes if a window that covers it
 also starts in a document with a smaller doc_id. Two passes over the blocks:
 
-1. every window's hash raises a counter of the block's sketch; the merged
-   sketches overestimate each window's count (``sketch``);
-2. only windows estimated as repeated are grouped, exactly: by a 96-bit hash of
-   their words, with the smallest doc_id a block; each block is told for which
-   of its windows another block holds a smaller one.
+1. every window's hash raises a counter in each row of the block's count-min
+   sketch; the merged sketches overestimate each window's count (``sketch``);
+2. only windows estimated as repeated are grouped, by the 128-bit hash of their
+   words (two different windows of 10**13 share one with a probability under
+   10**-12), with the smallest doc_id a block; each block is told for which of
+   its windows another block holds a smaller one.
 
 Results: windows are judged on the input, equal doc_ids don't remove from each
 other, a null doc_id counts as larger than all others, a null text has no words,
@@ -40,13 +41,10 @@ class Words:
     def __init__(self, body: bytes, window: int):
         self.ids, raw, ends = blocks.unpack(body)
         data = np.frombuffer(raw, np.uint8)
-        starts, stops = rolling.words(data) if len(data) else (np.zeros(0, np.int64),) * 2
-        # words don't cross documents, whatever bytes meet at their border
-        inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(data))]
-        whole = np.searchsorted(starts, inner, "right") - 1
-        split = inner[(whole >= 0) & (starts[whole] < inner) & (stops[whole] > inner)] if len(starts) else inner
-        starts, stops = np.union1d(starts, split), np.union1d(stops, split)
-        self.doc = np.searchsorted(ends, starts, "right")
+        borders = ends[:-1]
+        starts, stops = rolling.words(data, borders[(borders > 0) & (borders < len(data))])
+        self.firsts = np.searchsorted(starts, np.append(0, ends))  # each document's first word
+        self.doc = np.repeat(np.arange(len(ends)), np.diff(self.firsts))
         self.starts, self.stops, self.data, self.raw = starts, stops, data, raw
         if len(starts) >= window:
             hashes = rolling.of_sequences(rolling.of_spans(rolling.prefix(data), starts, stops), window)
@@ -74,23 +72,24 @@ class Words:
         return self.joined
 
     def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit hashes (64 and 32 bits) of the chosen windows' words."""
+        """128-bit hashes of the chosen windows' words, in two halves."""
         text, offsets = self.join()
         a, b = offsets[chosen].tolist(), (offsets[chosen + self.window] - 1).tolist()
         digest = xxhash.xxh3_128_digest
         raw = np.frombuffer(b"".join([digest(text[x:y]) for x, y in zip(a, b, strict=True)]), ">u8").reshape(-1, 2)
-        return raw[:, 0].astype(np.uint64), (raw[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
 
 
 def distinct(hi: np.ndarray, lo: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hi, lo) in order, the smallest doc of each, and each row's place among them."""
-    order = np.lexsort((docs, lo, hi))
+    order = rolling.grouping(hi, lo)
     h, l_ = hi[order], lo[order]
     first = np.ones(len(order), bool)
     first[1:] = (h[1:] != h[:-1]) | (l_[1:] != l_[:-1])
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(first) - 1
-    return h[first], l_[first], docs[order][first], inverse
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(first)) if len(order) else docs
+    return h[first], l_[first], least, inverse
 
 
 def pack_docs(docs: np.ndarray) -> bytes:
@@ -112,7 +111,7 @@ def _ask_docs(hi: np.ndarray, lo: np.ndarray, docs: np.ndarray, buckets: int) ->
         x, y = cuts[b], cuts[b + 1]
         if x < y:
             part = blocks.delta(hi[x:y] - bounds[b])
-            yield b, struct.pack("<qq", y - x, len(part)) + part + lo[x:y].astype("<u4").tobytes() + pack_docs(docs[x:y])
+            yield b, struct.pack("<qq", y - x, len(part)) + part + lo[x:y].astype("<u8").tobytes() + pack_docs(docs[x:y])
 
 
 def _smaller_elsewhere(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
@@ -121,8 +120,8 @@ def _smaller_elsewhere(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[t
     for _, blob in held:
         n, size = struct.unpack_from("<qq", blob)
         his.append(blocks.undelta(blob[16 : 16 + size]))
-        los.append(np.frombuffer(blob, "<u4", n, 16 + size))
-        docs.append(unpack_docs(blob[16 + size + 4 * n :], n))
+        los.append(np.frombuffer(blob, "<u8", n, 16 + size))
+        docs.append(unpack_docs(blob[16 + size + 8 * n :], n))
     every = np.concatenate(docs)
     _, _, least, inverse = distinct(np.concatenate(his), np.concatenate(los), every)
     smaller = least[inverse] < every
@@ -146,16 +145,14 @@ def _read_bits(hi: np.ndarray, buckets: int, got: list | None) -> np.ndarray:
 
 def remove(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words of every document, joined by single spaces."""
-    spark = df.sparkSession
     table = blocks.build(df, id_col, text_col, block_bytes)
     total = table.agg({"n_bytes": "sum"}).first()[0] or 0
     buckets = blocks.bucket_count(total, bucket_bytes)
     bits = sketch.width_bits(total // 6)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks.partition_count(table, buckets)
 
     def count(row: tuple) -> Iterator[tuple[int, bytes]]:
-        held = Words(row[2], window)
-        return sketch.questions(np.unique(sketch.counters(held.hashes, bits)), bits, buckets)
+        return sketch.questions(Words(row[2], window).hashes, bits, buckets)
 
     def candidates(held: Words, got: list | None) -> tuple:
         chosen = held.at[sketch.repeated(held.hashes, bits, buckets, got)]
@@ -167,8 +164,8 @@ def remove(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
         _, _, hi, lo, least, _ = candidates(Words(row[2], window), row[3])
         return _ask_docs(hi, lo, least, buckets)
 
-    counted = blocks.with_answers(table, blocks.ask(table, count, sketch.answers, buckets, parts), "counts")
-    placed = blocks.with_answers(counted, blocks.ask(counted, where, _smaller_elsewhere, buckets, parts), "places")
+    counted = blocks.with_answers(table, blocks.ask(table, count, sketch.answers(bits, buckets), parts), "counts")
+    placed = blocks.with_answers(counted, blocks.ask(counted, where, _smaller_elsewhere, parts), "places")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +179,16 @@ def remove(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
                 cover[chosen[gone] + window] -= 1
                 off = np.cumsum(cover[:-1]) > 0
                 text, offsets = held.join()
-                firsts = np.searchsorted(held.doc, np.arange(len(held.ids) + 1))
                 dropped = np.zeros(len(off) + 1, np.int64)
                 np.cumsum(off, out=dropped[1:])
                 for i, doc in enumerate(held.ids.tolist()):
-                    a, b = int(firsts[i]), int(firsts[i + 1])
+                    a, b = int(held.firsts[i]), int(held.firsts[i + 1])
                     n = int(dropped[b] - dropped[a])
                     if n == 0:
                         kept = text[offsets[a] : offsets[b] - 1] if b > a else b""
                     else:
-                        kept = b" ".join(text[offsets[w] : offsets[w + 1] - 1] for w in (a + np.flatnonzero(~off[a:b])).tolist())
+                        edge = np.flatnonzero(np.diff(off[a:b].view(np.int8), prepend=1, append=1)) + a  # kept runs' first and next words
+                        kept = b" ".join([text[x : y - 1] for x, y in offsets[edge].reshape(-1, 2).tolist()])
                     yield None if doc == NO_ID else doc, b - a, n, kept.decode("utf-8")
 
         return emit(schema, rows(), lambda r: len(r[3]))
