@@ -48,14 +48,25 @@ PARTS = 8
 # Suffix arrays
 
 
-def _order(*keys: np.ndarray) -> np.ndarray:
-    """Stable order by keys, the first one weighing most."""
-    return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+def _packed(*keys: np.ndarray) -> list[np.ndarray]:
+    """The keys, neighbours joined in one 64-bit integer while they fit."""
+    out: list[np.ndarray] = []
+    used = 64
+    for k in keys:
+        bits = max(int(k.max()).bit_length(), 1) if len(k) else 1
+        if used + bits <= 64:
+            out[-1] = out[-1] << np.uint64(bits) | k.astype(np.uint64)
+            used += bits
+        else:
+            out.append(k.astype(np.uint64))
+            used = bits
+    return out
 
 
 def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Names from 1 for rows of keys, in their order; equal rows have equal names."""
-    order = _order(*keys)
+    keys = _packed(*keys)
+    order = rolling.order(*keys)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -63,7 +74,7 @@ def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
         new[1:] |= s[1:] != s[:-1]
     names = np.empty(len(order), np.int64)
     names[order] = np.cumsum(new)
-    return names, int(new.sum())
+    return names, int(np.count_nonzero(new))
 
 
 def suffix_array(text: np.ndarray, need: int) -> np.ndarray:
@@ -75,55 +86,60 @@ def suffix_array(text: np.ndarray, need: int) -> np.ndarray:
     t[:n] = text
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # where n % 3 is 1, a padding triple ends the first part
     sample = np.concatenate([ones, twos])
-    size = int(t.max()) + 1
-    if size**3 < 1 << 62:
-        names, m = _names((t[sample] * size + t[sample + 1]) * size + t[sample + 2])
-    else:
-        names, m = _names(t[sample], t[sample + 1] * size + t[sample + 2])
+    names, m = _names(t[sample], t[sample + 1], t[sample + 2])
     if m < len(sample) and need > 3:
         deep = suffix_array(names, -(-need // 3))
-        names, m = _ranks(names, deep, -(-need // 3))
+        names = _ranks(names, deep, -(-need // 3))
     rank = np.zeros(n + 5, np.int64)
     rank[sample] = names
     rest = np.arange(0, n, 3)
-    own = _order(t[rest], rank[rest + 1])
-    rest = rest[own]
-    place = np.zeros(len(rest), np.int64)
-    for part, width in ((ones[ones < n], 1), (twos, 2)):
-        keys = [(t[p], rank[p + 1]) if width == 1 else (t[p], t[p + 1], rank[p + 2]) for p in (part, rest)]
-        place += _below(keys[0], keys[1])
-    ranked = sample[np.argsort(names, kind="stable")]
-    ranked = ranked[ranked < n]
-    # a remaining suffix stands before the sampled suffix whose place it has
-    return np.concatenate([rest, ranked])[np.lexsort((np.concatenate([np.arange(len(rest)), np.arange(len(ranked))]), np.concatenate([place * 2, np.arange(len(ranked)) * 2 + 1])))]
-
-
-def _below(keys: tuple, others: tuple) -> np.ndarray:
-    """How many rows of ``keys`` are less than each row of ``others``."""
-    names, _ = _names(*(np.concatenate([a, b]) for a, b in zip(keys, others, strict=True)))
-    k = len(keys[0])
-    return np.searchsorted(np.sort(names[:k]), names[k:])
-
-
-def _ranks(text: np.ndarray, order: np.ndarray, need: int) -> tuple[np.ndarray, int]:
+    rest = rest[rolling.order(*_packed(t[rest], rank[rest + 1]))]
+    place = _below((t, rank), ones[ones < n], rest) + _below((t, t[1:], rank), twos, rest)
+    # a remaining suffix stands before the sampled suffix whose place it has; among suffixes that agree so far any order will do
+    place = np.maximum.accumulate(place) + np.arange(len(rest))
+    ranked = sample[rolling.order(names)]
+    out = np.empty(n, np.int64)
+    sampled = np.ones(n, bool)
+    sampled[place] = False
+    out[place] = rest
+    out[sampled] = ranked[ranked < n]
+    return out
+
+
+def _below(keys: tuple, part: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many suffixes of ``part`` are less than each of ``rest``, by items and the rank behind them."""
+    k = len(part)
+    both = np.concatenate([part, rest])
+    key = _packed(*(x[both] for x in keys[:-1]), keys[-1][both + len(keys) - 1])
+    one = key[0] if len(key) == 1 else _names(*key)[0]
+    return np.searchsorted(np.sort(one[:k]), one[k:])
+
+
+def _ranks(text: np.ndarray, order: np.ndarray, need: int) -> np.ndarray:
     """Ranks from 1 of the suffixes in ``order``; those that agree in their first ``need`` items share one."""
-    same = agree(text, order, need)
     rank = np.empty(len(text), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[True], ~same]))
-    return rank, int((~same).sum()) + 1
+    rank[order] = np.cumsum(np.concatenate([[True], ~agree(text, order, need)]))
+    return rank
 
 
 def agree(text: np.ndarray, order: np.ndarray, need: int) -> np.ndarray:
     """Whether each suffix but the first agrees with its neighbour before it in their first ``need`` items."""
-    t = np.concatenate([text, np.zeros(need, text.dtype)])
-    live = np.arange(len(order) - 1)
-    for k in range(need):
-        a, b = t[order[live] + k], t[order[live + 1] + k]
-        live = live[a == b]
-        if not len(live):
-            break
-    same = np.zeros(max(len(order) - 1, 0), bool)
-    same[live] = True
+    bits = max(int(text.max()).bit_length(), 1) if len(text) else 1
+    per = max(1, min(need, 64 // bits))
+    t = np.zeros(len(text) + need + per, np.uint64)
+    t[: len(text)] = text
+    words = t[: len(text) + need].copy()  # ``per`` items from each place on
+    for k in range(1, per):
+        words <<= np.uint64(bits)
+        words |= t[k : k + len(words)]
+    live = None
+    for k in [*range(0, need - per, per), need - per]:
+        if live is None:
+            w = words[order + k]
+            same = w[1:] == w[:-1]
+        else:
+            same[live] = words[order[live] + k] == words[order[live + 1] + k]
+        live = np.flatnonzero(same)
     return same
 
 
@@ -179,7 +195,7 @@ class Pieces:
             self.hash = np.zeros(0, np.uint64)
             return
         least = _slide(rolling.of_grams(rolling.prefix(data), gram), length - gram + 1)[at]
-        doc = np.searchsorted(self.ends, at, "right")
+        doc = np.repeat(np.arange(len(self.ends)), np.maximum(self.ends - firsts - length + 1, 0))
         new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         cut = np.flatnonzero(new)
         # minima crowd near 0: mixed once more, they spread over all buckets
@@ -293,15 +309,14 @@ def _read_bits(pieces: list[bytes], hashes: np.ndarray, length: int, buckets: in
 
 def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): the bytes that stay of every document."""
-    spark = df.sparkSession
     table = blocks.build(df, id_col, text_col, block_bytes)
     total = table.agg({"n_bytes": "sum"}).first()[0] or 0
     buckets = blocks.bucket_count(total, bucket_bytes)
     bits = sketch.width_bits(total // 16)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks.partition_count(table, buckets)
 
     def count(row: tuple) -> Iterator[tuple[int, bytes]]:
-        return sketch.questions(np.unique(sketch.counters(Pieces(row[2], length, gram).hash, bits)), bits, buckets)
+        return sketch.questions(Pieces(row[2], length, gram).hash, bits, buckets)
 
     def candidates(held: Pieces, got: list | None) -> tuple:
         return held.distinct(np.flatnonzero(sketch.repeated(held.hash, bits, buckets, got)))
@@ -310,8 +325,8 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
         pieces, hashes, least, _ = candidates(Pieces(row[2], length, gram), row[3])
         return _ask_pieces(pieces, hashes, least, buckets)
 
-    counted = blocks.with_answers(table, blocks.ask(table, count, sketch.answers, buckets, parts), "counts")
-    placed = blocks.with_answers(counted, blocks.ask(counted, where, _answers(length), buckets, parts), "places")
+    counted = blocks.with_answers(table, blocks.ask(table, count, sketch.answers(bits, buckets), parts), "counts")
+    placed = blocks.with_answers(counted, blocks.ask(counted, where, _answers(length), parts), "places")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
