@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import blocks, bpe, decontam, jaccard, media, pii, quality, queries, secret_scan, suffix_dedup, token_files, window_dedup
+from weftline.llm import blocks, bpe, decontam, jaccard, media, pii, quality, queries, secret_scan, sketch, suffix_dedup, token_files, window_dedup
 from weftline.llm.common import scratch_path
 
 DATA = "/root/testdata/sf0.001"
@@ -93,9 +93,35 @@ def test_encoding_equals_the_library(rows, library):
         assert bpe.load(bpe.default_vocabulary()).decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_forced_pairs_stand_in_no_token():
+def test_forced_boundaries_are_those_of_the_pair_table():
     vocab = bpe.load(bpe.default_vocabulary())
-    assert vocab.cuts_at_space and not vocab.inside[ord("e") << 8 | ord(" ")]
+    tokens = [t for i, t in enumerate(vocab.bytes_of) if i not in vocab.special.values()]
+    inside = {t[i : i + 2] for t in tokens for i in range(len(t) - 1)}
+    assert not any(vocab.cuts[p[0] << 8 | p[1]] for p in inside)
+    found, n = vocab.fragments(["xqk zwvjq 12a", "", "日本é", "it's!'s"])
+    assert b"".join(found).decode() == "xqk zwvjq 12a日本éit's!'s" and n.tolist() == [len(found) - sum(n[1:]), 1, n[2], n[3]] and found[n[0]] == b""
+    # cuts that no space makes: within a word, and without any white space
+    assert sum(vocab.cuts[a << 8 | b] for a in range(97, 123) for b in range(97, 123)) > 50
+    assert any(not f.startswith(b" ") for f in vocab.fragments(["jxqzk" * 5])[0][1:])
+
+
+def test_encoding_of_random_texts_equals_the_library(library):
+    draw = np.random.Generator(np.random.PCG64(9))
+    parts = [*"ab'stre l1!\n\t\xa0\x85　é日?\"<|xqz", " ", "  ", "<|endoftext|>", "'s", "'re", " '", "é "]
+    texts = ["".join(draw.choice(parts, draw.integers(0, 16))) for _ in range(8000)]
+    texts += ["".join(map(chr, draw.choice([*range(9, 127), *range(0xA0, 0x250), *range(0x2000, 0x2070), 0x3000, 0x85], 24))) for _ in range(4000)]
+    vocab = bpe.load(bpe.default_vocabulary())
+    for text, got, want in zip(texts, vocab.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_op4_query(spark, rows, library):
+    got = {r.doc_id: r for r in queries.op4_bpe_round_trip(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        r = got[doc]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
 
 
 def test_encode_decode_frames(odd):
@@ -234,6 +260,29 @@ def test_random_suffix_arrays():
         assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
 
 
+def test_count_min_never_underestimates():
+    draw = np.random.Generator(np.random.PCG64(2))
+    lists = [draw.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2) for _ in range(4)]
+    lists[1][:500] = lists[0][:500]  # repeated across blocks
+    lists[2][:200] = lists[2][200:400]  # and within one
+    for bits, buckets in ((17, 5), (8, 3)):
+        asked: dict = {}
+        for k, own in enumerate(lists):
+            for b, blob in sketch.questions(own, bits, buckets):
+                asked.setdefault(b, []).append((k, blob))
+        told: dict = {}
+        for b, held in asked.items():
+            for k, blob in sketch.answers(bits, buckets)(b, held):
+                told.setdefault(k, []).append({"bucket": b, "blob": blob})
+        flat = np.concatenate(lists)
+        true = Counter(flat.tolist())
+        merged = [np.bincount(sketch.counters(flat, r, bits).astype(np.int64), minlength=1 << bits) for r in range(sketch.ROWS)]
+        for k, own in enumerate(lists):
+            got = sketch.repeated(own, bits, buckets, told.get(k))
+            least = np.minimum(*(m[sketch.counters(own, r, bits).astype(np.int64)] for r, m in enumerate(merged)))
+            assert (got == (least >= 2)).all() and all(got[i] for i, h in enumerate(own.tolist()) if true[h] > 1)
+
+
 def test_delta_codes():
     rng = np.random.default_rng(1)
     for top in (1, 300, 1 << 20, 1 << 63):

@@ -1,20 +1,24 @@
 """Byte-level BPE: encoding by forced boundaries, and decoding.
 
-A byte pair that stands inside no vocabulary token can never be merged, so the
-text may be cut between its two bytes. Of these certain cuts the encoder takes
-those that the splitting pattern makes as well (a space after a byte that is not
-white space): the fragments between them are then encoded independently and
-their ids concatenated. Fragments repeat, so each worker keeps a bounded cache of
-them; the fragments a batch lacks are encoded together in one call and told apart
-by their leading space.
-
-Texts without a certain cut, with runs of white space, or any length and script
-are encoded too: they are one fragment. Null text counts as empty and has no ids.
+A byte pair that stands inside no vocabulary token can never be merged: the text
+may be cut between its two bytes, and the fragments encoded independently, if the
+splitting pattern then sees the same pieces. It does wherever the byte before the
+cut ends no white space (whose pieces depend on what follows) and the cut makes no
+new contraction, which begins with an apostrophe; a cut inside a run of letters,
+digits or signs leaves two shorter runs. So a table of 65,536 byte pairs gives
+every cut, at one lookup a byte; a fragment is about a word, or a part of one.
+Fragments repeat, so each worker keeps a bounded cache of their ids.
+
+Texts of any length and script are encoded whole; a text without a certain cut is
+one fragment. Strings of special tokens become their ids; the text between them
+is encoded as above. Null text counts as empty and has no ids; input columns
+other than the two named ones don't matter.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +31,13 @@ from .common import emit, pick
 
 #: The splitting pattern of the byte-level vocabularies (a fixed value of their format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fragments that a worker keeps, and the longest of them in characters.
-CACHE, CACHED_CHARS = 500_000, 40
+#: Fragments that a worker keeps, and the longest of them in bytes.
+CACHE, CACHED_BYTES = 500_000, 48
+#: Last bytes of white space characters, of one byte and of several.
+_WHITE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
+_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Stands in no UTF-8.
+_MARK = 0xFF
 
 
 def default_vocabulary() -> str:
@@ -65,72 +74,76 @@ class ByteBpe:
         for token in ranks:
             t = np.frombuffer(token, np.uint8).astype(np.uint32)
             self.inside[t[:-1] << 8 | t[1:]] = True
-        white = {9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xA0}  # 0xA0 ends the no-break space; where it ends a letter, the pattern cuts
-        #: A space after any byte but white space is a certain cut of this vocabulary.
-        self.cuts_at_space = not self.inside[[a << 8 | 32 for a in range(256) if a not in white]].any()
-        self.opens = np.array([t[:1] == b" " for t in self.bytes_of])
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.core.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        #: cuts[a << 8 | b]: between bytes a and b a cut is certain, in a text without wide white space and in any text.
+        self.cuts = self._cuts(())
+        self.careful = self._cuts(tuple({w.encode()[-1] for w in _WIDE}))
+        self.marked = re.compile("|".join(map(re.escape, special))) if special else None
+        self.cache: dict[bytes, bytes] = {b"": b""}
+
+    def _cuts(self, wide: tuple[int, ...]) -> np.ndarray:
+        cuts = ~self.inside.reshape(256, 256)
+        cuts[[*_WHITE, *wide]] = False
+        cuts[:, 0x80:0xC0] = False  # within a character
+        signs = [b for b in range(128) if b not in _WHITE and not chr(b).isalnum()]
+        cuts[[*signs, *range(128, 256)], ord("'")] = False  # in a run of signs the apostrophe opens no contraction
+        cuts[ord("'")] = False
+        cuts[_MARK] = cuts[:, _MARK] = False
+        return cuts.ravel()
+
+    def fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The fragments of all texts, and how many each text has."""
+        raws = [t.encode("utf-8") for t in texts]
+        data = np.frombuffer(bytes((_MARK,)).join(raws), np.uint8)
+        plain = all(t.isascii() or not any(w in t for w in _WIDE) for t in texts)
+        pairs = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+        at = np.flatnonzero((self.cuts if plain else self.careful)[pairs]) + 1
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        n = np.diff(np.searchsorted(at, ends), prepend=0) + 1
+        return np.insert(data, at, _MARK).tobytes().split(bytes((_MARK,))), n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        open_: list[tuple[int, bytes, list[str], list]] = []
-        lack: set[str] = set()
-        get = self.cache.get
+        plain, whole = [], {}
         for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif self._spaced(text):
-                first, *cut = text.split(" ")
-                head = self._whole(first)
-                got = list(map(get, cut))
-                if None in got:
-                    lack.update([p for p, g in zip(cut, got, strict=True) if g is None])
-                    open_.append((i, head, cut, got))
-                else:
-                    out[i] = head + b"".join(got)
+            if self.marked and "<" in text and self.marked.search(text):
+                whole[i] = self._with_special(text)
+                plain.append("")
             else:
-                out[i] = self._whole(text)
-        found = self._together(lack)
-        for i, head, cut, got in open_:
-            out[i] = head + b"".join([found[p] if g is None else g for p, g in zip(cut, got, strict=True)])
-        return out  # type: ignore[return-value]
-
-    def _spaced(self, text: str) -> bool:
-        """Every space follows a byte that isn't white space and precedes one that isn't."""
-        if not self.cuts_at_space or text[0] == " " or text[-1] == " " or "  " in text or "<|" in text:
-            return False
-        for w in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0":
-            if w in text and (f"{w} " in text or f" {w}" in text):
-                return False
-        return text.isascii() or not any(w in text for w in _WIDE)
-
-    def _together(self, lack: set[str]) -> dict[str, bytes]:
-        """Encodes the fragments in one call and keeps them while there is room."""
-        if not lack:
-            return {}
-        words = list(lack)
-        ids = np.asarray(self.core.encode_ordinary(" " + " ".join(words)), dtype="<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        assert len(starts) == len(words)
-        raw, starts = ids.tobytes(), (starts * 4).tolist()
-        found = {word: raw[a:b] for word, a, b in zip(words, starts, [*starts[1:], len(raw)], strict=True)}
-        if len(self.cache) < CACHE:
-            self.cache.update((w, x) for w, x in found.items() if len(w) <= CACHED_CHARS)
-        return found
+                plain.append(text)
+        if not plain:
+            return []
+        found, n = self.fragments(plain)
+        ids = list(map(self.cache.get, found))
+        if None in ids:
+            own: dict[bytes, bytes] = {}
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                if (got := own.get(f := found[i])) is None:
+                    got = own[f] = np.array(self.core.encode_ordinary(f.decode("utf-8")), "<u4").tobytes()
+                ids[i] = got
+            if len(self.cache) < CACHE:
+                self.cache.update((f, x) for f, x in own.items() if len(f) <= CACHED_BYTES)
+        cuts = np.cumsum(n).tolist()
+        out = [b"".join(ids[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+        for i, got in whole.items():
+            out[i] = got
+        return out
+
+    def _with_special(self, text: str) -> bytes:
+        """Ids of a text that holds strings of special tokens: what stands between them is encoded by itself."""
+        parts, at = [], 0
+        marks = []
+        for m in self.marked.finditer(text):
+            parts.append(text[at : m.start()])
+            marks.append(np.array([self.special[m[0]]], "<u4").tobytes())
+            at = m.end()
+        found = self.encode([*parts, text[at:]])
+        return b"".join(x for pair in zip(found, [*marks, b""], strict=True) for x in pair)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
-#: White space beyond ASCII and Latin-1; texts that hold any of it are one fragment.
-_WIDE = tuple(chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
