@@ -26,9 +26,11 @@ def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir where it is set, else (tests) a local one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a local one (tests); a cluster is an error, as its executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/weftline-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,12 +49,38 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this process; results that still read them must be used up first."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes the given scratch tables, or all of this process; results that still read them must be used up first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop()).getParent()
+    for p in list(_scratch) if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(p).getParent()
         path.getFileSystem(conf).delete(path, True)
+        if p in _scratch:
+            _scratch.remove(p)
+
+
+def since(mark: int) -> list[str]:
+    """The scratch tables made since there were ``mark`` of them."""
+    return _scratch[mark:]
+
+
+def mark() -> int:
+    return len(_scratch)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose (doc_id, xxhash64 of text) isn't in gone (doc_id, text_hash)."""
+    doc, text = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[text]), "left_anti")
 
 
 def input_bytes(df: DataFrame) -> int:

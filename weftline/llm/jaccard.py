@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, graphs, rolling
-from .common import emit, pick, shared_table, text_rows
+from .common import emit, pick, shared_table, text_rows, without
 
 K, SIMILARITY = 5, 0.8
 MINHASHES = 96
 RECALL = 0.999
-LEAF, VERIFY, DEPTH = 4096, 256, 3
+LEAF, VERIFY, DEPTH = 4096, 1024, 3
 MARGIN = 0.15
 RUN_BITS = 14
 NO_ID = blocks.NO_ID
@@ -321,8 +321,6 @@ def join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class; of repeated rows one."""
     found = shared_table(join(docs), "classes")
-    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_hash"))
-    kept = docs.join(gone, same, "left_anti")
+    kept = without(docs, found.where(~F.col("first")))
     repeated = found.where("first").groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
