@@ -4,12 +4,17 @@ For every benchmark item and document, windows of as many words as the item has
 are compared with it. A window of similarity > 0 shares a shingle (``K``
 consecutive words; of shorter items, all their words) with its item, so windows
 are laid where such a shingle falls on its place in the item. Each window's
-SimHash is taken over its shingles; fingerprints are cut into RADIUS + 1 blocks,
-and windows and items of one size that share a block are candidates: by the
-pigeonhole principle these are all within RADIUS bits. Those within it are
-verified by the exact weighted Jaccard similarity of their shingles, where a
-shingle that d items hold weighs 1 / d, and one outside the pair's item no more
-than the item's shingles do on average (as much where no item holds it).
+SimHash is taken over its shingles; fingerprints are cut into RADIUS + 1 blocks:
+by the pigeonhole principle fingerprints within RADIUS bits share a block. At the
+radius that a similarity of 0.8 needs such a block has three bits, too few to
+tell windows and items apart, so a block is looked up together with a shingle:
+of an item's shingles, the rarest that hold more than 1 - SIMILARITY of its
+weight are needed ones, of which every similar window has one. Windows and items
+of one size that share a needed shingle and a block are candidates, and all pairs
+within RADIUS that can be similar are among them. Those within it are verified by
+the exact weighted Jaccard similarity of their shingles, where a shingle that d
+items hold weighs 1 / d, and one outside the pair's item no more than the item's
+shingles do on average (as much where no item holds it).
 
 Words are lower-cased and split at white space. A window that would begin before
 its document or end behind it is moved inside, and is shorter where the document
@@ -25,10 +30,10 @@ texts one row for the more similar one; a null doc_id is reported as null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shared_table
+from .common import pick, shared_table, without
 
 K, SIMILARITY = 5, 0.8
 #: Of 64-bit fingerprints. At a similarity of 0.8 they differ by 9.7 bits on average, with a deviation of 2.9.
@@ -97,24 +102,31 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float =
     windows = shared_table(windows.withColumn("content", F.sha2(F.array_join(F.transform("win", lambda h: h.cast("string")), ","), 256)), "windows")
     once = windows.groupBy("k", "size", "content").agg(F.first("win").alias("win"))
     prints = shared_table(once.withColumn("f", simhash("win")), "prints")
-    # items' fingerprints and weights
-    df = bench.select("k", F.explode(F.array_distinct("s")).alias("h")).groupBy("k", "h").count()
-    weighed = bench.select("item", "item_id", "k", F.col("n").alias("size"), "s", F.explode(F.array_distinct("s")).alias("h")).join(df, ["k", "h"])
-    entry = F.struct("h", (1.0 / F.col("count")).alias("w"), F.expr("size(filter(s, x -> x = h))").alias("c"))
-    known = shared_table(weighed.groupBy("item", "k", "size").agg(F.first("item_id").alias("item_id"), F.first("s").alias("s"), F.collect_list(entry).alias("iw")).withColumn("g", simhash("s")), "known")
-    # multi-index: equal blocks, then the whole distance
-    left = prints.select("k", "size", "content", "f", F.explode(blocks_of(F.col("f"), radius)).alias("b"))
-    right = known.select("k", "size", "item", "g", F.explode(blocks_of(F.col("g"), radius)).alias("b"))
-    near = left.join(right, ["k", "size", "b"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-    near = near.select("k", "size", "content", "item", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
-    held = near.join(prints.select("k", "size", "content", "win"), ["k", "size", "content"]).join(known.select("k", "size", "item", "item_id", "iw"), ["k", "size", "item"])
-    # weights of the windows' shingles that any item holds
-    seen = near.select("k", "size", "content").distinct().join(prints.select("k", "size", "content", F.explode(F.array_distinct("win")).alias("h")), ["k", "size", "content"])
-    rated = seen.join(df, ["k", "h"]).groupBy("k", "size", "content").agg(F.map_from_entries(F.collect_list(F.struct("h", 1.0 / F.col("count")))).alias("ww"))
-    held = held.join(rated, ["k", "size", "content"], "left").withColumn("mean", F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * x.c) / aggregate(iw, 0, (a, x) -> a + x.c)"))
-    both = F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * least(x.c, size(filter(win, y -> y = x.h))))")
-    either = F.expr("aggregate(iw, 0D, (a, x) -> a + x.w * greatest(x.c, size(filter(win, y -> y = x.h)))) + aggregate(filter(win, y -> not exists(iw, x -> x.h = y)), 0D, (a, y) -> a + least(mean, coalesce(ww[y], 1D)))")
-    good = held.select("k", "size", "content", "item_id", "distance", (both / either).alias("similarity")).where(F.col("similarity") >= similarity)
+    # items' shingles by weight, the rarest first; those that a similar window can't all lack
+    df = bench.select("k", F.explode(F.array_distinct("s")).alias("h")).groupBy("k", "h").count().select("k", "h", (1.0 / F.col("count")).alias("w"))
+    known = bench.select("item", "k", F.col("n").alias("size"), F.explode("s").alias("h")).groupBy("item", "k", "size", "h").agg(F.count("*").alias("c")).join(df, ["k", "h"])
+    order = Window.partitionBy("item").orderBy(F.col("w").desc(), "h")
+    ranked = known.withColumns({"before": F.sum(F.col("w") * F.col("c")).over(order) - F.col("w") * F.col("c"), "all": F.sum(F.col("w") * F.col("c")).over(Window.partitionBy("item"))})
+    known = shared_table(ranked.withColumn("needed", F.col("before") <= (1 - similarity) * F.col("all") + 1e-9).drop("before", "all"), "known")
+    # multi-index: a shared needed shingle and an equal block, then the whole distance
+    keys = shared_table(known.where("needed").join(bench.select("item", simhash("s").alias("g")), "item").select("k", "size", "h", "item", "g"), "keys")
+    left = prints.select("k", "size", "content", "f", F.explode(F.array_distinct("win")).alias("h")).join(keys.select("k", "size", "h").distinct(), ["k", "size", "h"], "left_semi")
+    left = left.withColumn("b", F.explode(blocks_of(F.col("f"), radius)))
+    right = keys.withColumn("b", F.explode(blocks_of(F.col("g"), radius)))
+    distance = F.bit_count(F.col("f").bitwiseXOR(F.col("g")))
+    near = left.join(right, ["k", "size", "h", "b"]).where(distance <= radius)
+    near = shared_table(near.select("k", "size", "content", "item", distance.alias("distance")).distinct(), "near")
+    # weighted similarity: the pair's shingles on both sides, one row each
+    pair = ["k", "size", "content", "item", "distance"]
+    counts = prints.select("k", "size", "content", F.explode("win").alias("h")).groupBy("k", "size", "content", "h").agg(F.count("*").alias("c"))
+    none, no_weight = F.lit(0).cast("long"), F.lit(None).cast("double")
+    ours = near.join(known.select("item", "h", "w", "c"), "item").select(*pair, "h", F.col("c").alias("a"), none.alias("b"), "w")
+    theirs = near.join(counts, ["k", "size", "content"]).join(df.withColumnRenamed("w", "any"), ["k", "h"], "left").select(*pair, "h", none.alias("a"), F.col("c").alias("b"), F.coalesce("any", F.lit(1.0)).alias("w"))
+    each = ours.unionByName(theirs).groupBy(*pair, "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("w").alias("w"))
+    means = known.groupBy("item").agg((F.sum(F.col("w") * F.col("c")) / F.sum("c")).alias("mean"))
+    either = F.when(F.col("a") > 0, F.col("w") * F.greatest("a", "b")).otherwise(F.col("b") * F.least("mean", "w"))
+    rated = each.join(means, "item").groupBy(*pair).agg((F.sum(F.col("w") * F.least("a", "b")) / F.sum(either)).alias("similarity"))
+    good = rated.where(F.col("similarity") >= similarity - 1e-12).join(bench.select("item", "item_id"), "item").drop("item")
     found = windows.select("doc_id", "text_hash", "k", "size", "start", "content").distinct().join(good, ["k", "size", "content"])
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "size", "distance")).alias("b")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").alias("start_word"), F.col("b.size").alias("n_words"), F.col("b.distance").alias("distance"))
@@ -122,6 +134,4 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window similar to a benchmark item."""
-    bad = find(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    return without(docs, find(docs, benchmark))
