@@ -3,12 +3,14 @@
 ``store`` puts each document's bytes, losslessly, as frames of 24 x 24 8-bit
 samples into an ISO base media file (ftyp, mdat, moov with nested boxes) and
 keeps it in a binary column. ``probe`` walks the nested boxes of such a column,
-decodes the sample tables (stts, stsz, stsc, stco/co64, stss) and gives codec,
-size, duration and the byte ranges of the key frames; it looks at no payload.
+decodes the sample tables (stts, stsz, stsc, stco/co64, stss) and the runs of
+movie fragments (tfhd, tfdt, trun), and gives codec, size, duration and the byte
+ranges of the key frames, and a line on every track; it looks at no payload.
 ``payloads`` then reads the stored frames by the sample tables.
 
 An empty or null text is one frame of padding. A null, empty or broken container
-gives a row with null features and ``error`` set; it fails no task. Repeated
+gives a row with null features and ``error`` set; it fails no task: depth and all
+counts are held against bounds before they are followed. Repeated
 rows give equal values; the file has no times, so equal texts give equal files.
 """
 
@@ -31,6 +33,8 @@ PAD = b"\xff"
 TIMESCALE, FRAME_TICKS = 25000, 1000
 #: Frames in a chunk, and frames from one key frame to the next.
 CHUNK, KEY_EVERY = 16, 12
+#: Levels of nested boxes; the standard's files have about eight.
+DEPTH = 32
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
@@ -77,9 +81,11 @@ def mux(payload: bytes) -> bytes:
     return head + mdat + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of kinds, start of body, end) of every box, parents before children."""
+def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int, int]]:
+    """(path of kinds, start, start of body, end) of every box, parents before children."""
     end = len(data) if end is None else end
+    if len(path) > DEPTH:
+        raise ValueError(f"boxes nested deeper than {DEPTH}")
     while start < end:
         if end - start < 8:
             raise ValueError("a box is cut off")
@@ -90,7 +96,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} reaches beyond what holds it")
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
         if kind in CONTAINERS:
             yield from walk(data, body, stop, (*path, kind))
         start = stop
@@ -104,39 +110,123 @@ def table(data: bytes, at: int, end: int, width: int, kind: str = ">u4") -> np.n
     return np.frombuffer(data, kind, n * width, at + 8).reshape(n, width).astype(np.int64)
 
 
-def probe_bytes(data: bytes) -> dict:
-    """The first video track: codec, size, timescale, duration, and offset, size, time and key flag of its samples."""
-    boxes: dict[bytes, tuple[int, int]] = {}
-    tracks: list[dict[bytes, tuple[int, int]]] = []
-    for path, at, end in walk(data):
-        if path[-1] == b"trak":
-            tracks.append({})
-        (tracks[-1] if b"trak" in path and tracks else boxes)[path[-1]] = (at, end)
-    for t in tracks:
-        if b"hdlr" in t and data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] == b"vide":
-            break
-    else:
-        raise ValueError("no video track")
-    at = t[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
-    at = t[b"stsd"][0] + 8
-    codec = data[at + 4 : at + 8].decode("latin-1").strip()
-    width, height = struct.unpack_from(">HH", data, at + 32)
+def samples(data: bytes, t: dict[bytes, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Offset, size and time of a track's samples by its sample tables, and which are key frames; counts are held against each other before anything is laid out by them."""
     at, end = t[b"stsz"]
     one, n = struct.unpack_from(">II", data, at + 4)
+    if one * n > len(data):
+        raise ValueError("samples larger than the file")
     sizes = np.full(n, one, np.int64) if one else table(data, at + 4, end, 1)[:, 0]
     chunks = table(data, *t[b"co64"], 1, ">u8")[:, 0] if b"co64" in t else table(data, *t[b"stco"], 1)[:, 0]
     runs = table(data, *t[b"stsc"], 3)
-    in_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if in_chunk.sum() != n:
+    lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if len(runs) and (runs[0, 0] != 1 or (lengths < 1).any()) or int((runs[:, 1] * lengths).sum()) != n:
         raise ValueError("chunks and samples differ in number")
+    in_chunk = np.repeat(runs[:, 1], lengths)
     before = np.cumsum(sizes) - sizes
     firsts = np.cumsum(in_chunk) - in_chunk
     offsets = before + np.repeat(chunks - before[np.minimum(firsts, max(n - 1, 0))], in_chunk) if n else before
     stts = table(data, *t[b"stts"], 2)
+    if int(stts[:, 0].sum()) != n:
+        raise ValueError("times and samples differ in number")
     deltas = np.repeat(stts[:, 1], stts[:, 0])
     keys = table(data, *t[b"stss"], 1)[:, 0] - 1 if b"stss" in t else np.arange(n)
-    return {"codec": codec, "width": width, "height": height, "timescale": timescale, "duration": duration, "offsets": offsets, "sizes": sizes, "times": np.cumsum(deltas) - deltas, "keys": keys}
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a key frame that isn't there")
+    return {"offsets": offsets, "sizes": sizes, "times": np.cumsum(deltas) - deltas, "deltas": deltas, "keys": keys}
+
+
+def fragments(data: bytes, boxes: list[tuple[tuple, int, int, int]], track: int) -> dict[str, np.ndarray]:
+    """The samples of a track in the file's movie fragments."""
+    defaults = (0, 0, 0)
+    for path, _, at, _ in boxes:
+        if path[-1] == b"trex" and struct.unpack_from(">I", data, at + 4)[0] == track:
+            defaults = struct.unpack_from(">III", data, at + 12)
+    rows: list[np.ndarray] = []
+    moof = at_data = time = 0
+    own, given = False, defaults
+    for path, start, at, end in boxes:
+        if path[-1] == b"moof":
+            moof = at_data = start
+        elif path[-1] == b"tfhd":
+            flags, own = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", data, at + 4)[0] == track
+            at += 8
+            if flags & 1:
+                at_data, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            elif flags & 0x20000:
+                at_data = moof
+            at += 4 * (flags >> 1 & 1)
+            found = []
+            for k, bit in enumerate((8, 16, 32)):
+                found.append(struct.unpack_from(">I", data, at)[0] if flags & bit else defaults[k])
+                at += 4 * bool(flags & bit)
+            given, base = tuple(found), at_data
+        elif path[-1] == b"tfdt" and own:
+            time = struct.unpack_from(">Q" if data[at] else ">I", data, at + 4)[0]
+        elif path[-1] == b"trun":
+            flags, n = struct.unpack_from(">II", data, at)
+            at += 8
+            if flags & 1:
+                at_data, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first = struct.unpack_from(">I", data, at)[0] if flags & 4 else None
+            at += 4 * bool(flags & 4)
+            width = sum(bool(flags & b) for b in (0x100, 0x200, 0x400, 0x800))
+            if at + 4 * n * width > end or not flags & 0x200 and given[1] * n > len(data):
+                raise ValueError("a fragment's run is cut off")
+            if n > len(data):
+                raise ValueError("samples larger than the file")
+            cells = np.frombuffer(data, ">u4", n * width, at).reshape(n, width).astype(np.int64)
+            cols, k = [], 0
+            for j, bit in enumerate((0x100, 0x200, 0x400)):
+                cols.append(cells[:, k] if flags & bit else np.full(n, given[j], np.int64))
+                k += bool(flags & bit)
+            if first is not None and n:
+                cols[2] = np.append(first, cols[2][1:])
+            ends = np.cumsum(cols[1])
+            if own and n:
+                rows.append(np.stack([at_data + ends - cols[1], cols[1], time + np.cumsum(cols[0]) - cols[0], cols[0], cols[2] >> 16 & 1]))
+                time += int(cols[0].sum())
+            at_data += int(ends[-1]) if n else 0
+    got = np.concatenate(rows, axis=1) if rows else np.zeros((5, 0), np.int64)
+    return {"offsets": got[0], "sizes": got[1], "times": got[2], "deltas": got[3], "keys": np.flatnonzero(got[4] == 0)}
+
+
+def probe_bytes(data: bytes) -> dict:
+    """The first video track: codec, size, timescale, duration, and offset, size, time and key flag of its samples; beside it (kind, codec, timescale, duration, samples) of every track.
+
+    Samples are those of the sample tables and, behind them, of movie fragments.
+    """
+    boxes = list(walk(data))
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, _, at, end in boxes:
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1][path[-1]] = (at, end)
+    fragmented = any(path[-1] == b"moof" for path, *_ in boxes)
+    found, every = None, []
+    for t in tracks:
+        kind = data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]
+        at = t[b"mdhd"][0]
+        timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
+        at = t[b"stsd"][0] + 8
+        codec = data[at + 4 : at + 8].decode("latin-1").strip()
+        own = samples(data, t)
+        if fragmented:
+            head = t[b"tkhd"][0]
+            more = fragments(data, boxes, struct.unpack_from(">I", data, head + (20 if data[head] else 12))[0])
+            more["keys"] = more["keys"] + len(own["sizes"])
+            own = {k: np.concatenate([own[k], more[k]]) for k in own}
+            duration = duration or (int(own["times"][-1] + own["deltas"][-1]) if len(own["times"]) else 0)
+        if len(own["sizes"]) and (int(own["offsets"].min()) < 0 or int((own["offsets"] + own["sizes"]).max()) > len(data)):
+            raise ValueError("a sample outside the file")
+        every.append({"kind": kind.decode("latin-1"), "codec": codec, "timescale": timescale, "duration": duration, "samples": len(own["sizes"])})
+        if kind == b"vide" and found is None:
+            width, height = struct.unpack_from(">HH", data, at + 32)
+            found = {"codec": codec, "width": width, "height": height, "timescale": timescale, "duration": duration, **own}
+    if found is None:
+        raise ValueError("no video track")
+    return {**found, "tracks": every}
 
 
 def read_payload(data: bytes, found: dict) -> bytes:
@@ -161,23 +251,24 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return pick(df, id_col, text_col).mapInArrow(lambda b: emit(schema, rows(b), lambda r: len(r[2])), "doc_id long, n_bytes long, media binary")
 
 
-PROBED = "codec string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<time:long,offset:long,size:long>>, error string"
+PROBED = "codec string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<time:long,offset:long,size:long>>, tracks array<struct<kind:string,codec:string,timescale:long,duration:long,samples:long>>, error string"
 _KEYS = pa.list_(pa.struct([("time", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())]))
-_PROBED = [("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _KEYS), ("error", pa.string())]
+_TRACKS = pa.list_(pa.struct([("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64())]))
+_PROBED = [("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _KEYS), ("tracks", _TRACKS), ("error", pa.string())]
 
 
 def _features(data: bytes | None) -> tuple[dict | None, tuple]:
     try:
         found = probe_bytes(data or b"")
-    except (ValueError, KeyError, IndexError, struct.error) as e:
-        return None, (None,) * 7 + (f"{type(e).__name__}: {e}",)
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+        return None, (None,) * 8 + (f"{type(e).__name__}: {e}",)
     k = found["keys"]
     ranges = [{"time": a, "offset": b, "size": c} for a, b, c in zip(found["times"][k].tolist(), found["offsets"][k].tolist(), found["sizes"][k].tolist(), strict=True)]
-    return found, (found["codec"], found["width"], found["height"], found["timescale"], found["duration"], len(found["sizes"]), ranges, None)
+    return found, (found["codec"], found["width"], found["height"], found["timescale"], found["duration"], len(found["sizes"]), ranges, found["tracks"], None)
 
 
 def probe(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, codec, width, height, timescale, duration, n_samples, keyframes, error) of a binary column of ISO media files."""
+    """(doc_id, codec, width, height, timescale, duration, n_samples, keyframes, tracks, error) of a binary column of ISO media files."""
     schema = pa.schema([("doc_id", pa.int64()), *_PROBED])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
