@@ -75,6 +75,66 @@ def test_broken_media_is_reported(spark):
     assert {r.doc_id: r.error is None for r in media.probe(df).collect()} == {1: False, 2: False, 3: False, 4: True}
 
 
+def test_hostile_media_fails_no_task(spark):
+    good = media.mux(b"\xff" * 576)
+    at = good.index(b"stsz")
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    many = good[: at + 8] + (1).to_bytes(4, "big") + (0xFFFFFFFF).to_bytes(4, "big") + good[at + 16 :]
+    at = good.index(b"stts")
+    times = good[: at + 12] + (0xFFFFFFFF).to_bytes(4, "big") + good[at + 16 :]
+    at = good.index(b"stss")
+    keys = good[: at + 12] + (77).to_bytes(4, "big") + good[at + 16 :]
+    rows = list(enumerate([deep, many, times, keys, b"\0" * 40, good]))
+    got = {r.doc_id: r.error for r in media.probe(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert all(got[i] for i in range(5)) and got[5] is None
+
+
+def fragmented(payloads):
+    """A file of two tracks whose samples are all in fragments, a fragment a payload."""
+    import struct
+
+    full, box = media.full, media.box
+    empty = [full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4))]
+
+    def trak(number, kind, entry):
+        tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60))
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), *empty)
+        mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0), bytes(4)), full(b"hdlr", bytes(4), kind, bytes(13)), box(b"minf", stbl))
+        return box(b"trak", tkhd, mdia)
+
+    video = box(b"avc1", bytes(24), struct.pack(">HH", 64, 48), bytes(50))
+    trex = [full(b"trex", struct.pack(">IIIII", n, 1, 40, 0, 0)) for n in (1, 2)]
+    out = box(b"ftyp", b"iso5", bytes(4)) + box(b"moov", trak(2, b"soun", box(b"mp4a", bytes(28))), trak(1, b"vide", video), box(b"mvex", *trex))
+    want = []
+    for i, samples in enumerate(payloads):
+        sizes = b"".join(struct.pack(">II", len(s), 0x10000 * (k > 0)) for k, s in enumerate(samples))
+        for offset in (0, None):
+            run = full(b"trun", struct.pack(">Ii", len(samples), offset or 0), sizes, flags=0x601)
+            tfdt = full(b"tfdt", struct.pack(">I", 100 * i))
+            sound = box(b"traf", full(b"tfhd", struct.pack(">I", 2), flags=0x20000), full(b"trun", struct.pack(">Ii", 0, 0), flags=0x201))
+            moof = box(b"moof", full(b"mfhd", bytes(4)), sound, box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), tfdt, run))
+            if offset == 0:
+                shift = len(moof) + 8
+                run_ = full(b"trun", struct.pack(">Ii", len(samples), shift), sizes, flags=0x601)
+                moof = moof.replace(run, run_)
+                at = len(out) + shift
+                want += [(100 * i + 40 * k, at + sum(map(len, samples[:k])), len(s), k == 0) for k, s in enumerate(samples)]
+                out += moof + box(b"mdat", *samples)
+    return out, want
+
+
+def test_fragmented_media():
+    data, want = fragmented([[b"one", b"three"], [b"seven..", b"", b"x"]])
+    found = media.probe_bytes(data)
+    keys = set(found["keys"].tolist())
+    got = [(int(t), int(o), int(s), i in keys) for i, (t, o, s) in enumerate(zip(found["times"], found["offsets"], found["sizes"], strict=True))]
+    assert got == want and [data[o : o + s] for _, o, s, _ in got] == [b"one", b"three", b"seven..", b"", b"x"]
+    assert (found["codec"], found["width"], found["height"], found["duration"]) == ("avc1", 64, 48, 220)
+    assert [(t["kind"], t["codec"], t["samples"]) for t in found["tracks"]] == [("soun", "mp4a", 0), ("vide", "avc1", 5)]
+
+
 # Tokens
 
 
@@ -405,6 +465,44 @@ def test_decontamination_of_items_that_share_an_id(spark):
     assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [5]
 
 
+def test_decontamination_against_brute_force(spark):
+    """Edited passages of random items in random documents: every item-sized window of every document."""
+    draw = np.random.Generator(np.random.PCG64(21))
+    word = lambda n: [f"w{x}" for x in draw.integers(0, 400, n)]
+    items = [(i, word(int(draw.integers(9, 40)))) for i in range(40)]
+    docs = []
+    for d in range(160):
+        _, own = items[int(draw.integers(0, 40))]
+        own = list(own)
+        for _ in range(int(draw.integers(0, 3))):
+            own[int(draw.choice([0, 1, -1, -2, int(draw.integers(0, len(own)))]))] = "edit"
+        docs.append((d, word(int(draw.integers(0, 30))) + own + word(int(draw.integers(0, 30)))))
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    held = Counter(g for _, w in items for g in grams(w))
+    want = {}
+    for d, text in docs:
+        for i, w in items:
+            b = grams(w)
+            mean = sum(c / held[g] for g, c in b.items()) / sum(b.values())
+            for at in range(max(1, len(text) - len(w) + 1)):
+                a = grams(text[at : at + len(w)])
+                both = sum(min(c, a[g]) / held[g] for g, c in b.items())
+                either = sum(max(c, a[g]) / held[g] for g, c in b.items()) + sum(c * min(mean, 1 / held[g] if g in held else 1) for g, c in a.items() if g not in b)
+                if both >= 0.8 * either - 1e-12:
+                    want[d, i] = max(want.get((d, i), 0), both / either)
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got.keys() == want.keys() and len(want) > 60 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"word{i}" for i in range(20))
+    df = spark.createDataFrame([(1, text, 0, 0, 0), (2, text, 0, 0, 0), (3, "other text", 0, 0, 0)], "doc_id long, text string, gone_id int, Gone_Hash int, item_id int")
+    bench = spark.createDataFrame([(1, text, 0)], "item_id long, text string, doc_id int")
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [3]
+    assert sorted(r.doc_id for r in jaccard.one_of_each(df).collect()) == [1, 3]
+
+
 # Personal data
 
 
@@ -453,6 +551,26 @@ def test_pii_bootstrap_from_spaced_numbers_and_one_word(spark):
     assert {d: [text[d][s.start : s.end] for s in got[d].extra] for d in range(30, 36)} == {30: ["(269) 555-3296"], 31: ["4111 1111 1111 1112"], 32: [], 33: ["jd77"], 34: ["ab99"], 35: []}
 
 
+def test_pii_whole_words_are_patterns(spark):
+    """Words of any length before an identifier, and long texts full of matches."""
+    word = "w" * 200
+    data = [(i, f"x {word} key u{i}a@b.org") for i in range(4)] + [(9, f"y {word} key zz-99881 q"), (10, f"y {'w' * 199} key zz-99882 q")]
+    data += [(11, "".join(f"a{i}@b.org text 10.0.{i % 256}.7 " for i in range(6000)))]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[11].base] == brute_pii(data[-1][1]) and len(got[11].base) == 12000
+    two = {r.pattern for r in pii.patterns(spark.createDataFrame([(f"{word} key", f"v{i}", True) for i in range(4)], "pattern string, value string, seed boolean")).collect()}
+    assert two == {f"{word} key"} and [s.kind for s in got[9].extra] == ["context"] and [s.kind for s in got[10].extra] == ["context"]  # the word "key" alone is one as well
+
+
+def test_op10_query(spark, rows):
+    got = {r.doc_id: r for r in queries.op10_personal_data(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        line = [f"{k}:{a}:{b}" for k, a, b in brute_pii(text)]
+        assert got[doc].base_sha256 == sha(",".join(line)) and got[doc].spans.startswith(",".join(line))
+        assert [got[doc][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k + ":") for x in line) for k in pii.KINDS]
+
+
 # Quality
 
 
