@@ -419,6 +419,17 @@ def test_jaccard_runs_sample_at_every_depth():
     assert missed <= 0.001 * len(a) + 10
 
 
+def test_jaccard_recall_against_all_rows(spark):
+    """The documents with doc_id % 50 = 0 against all others, by exact similarity: every link is in a common class, and counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {d: set(jaccard.shingles(t or "").tolist()) for d, t in docs}
+    asked = [d for d in sets if d % 50 == 0]
+    links = {q: [d for d, s in sets.items() if d != q and s and sets[q] and len(s & sets[q]) >= 0.8 * len(s | sets[q])] for q in asked}
+    got = {r.doc_id: r for r in queries.op5_ngram_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    found = sum(got[q].class_id == got[d].class_id for q, own in links.items() for d in own)
+    assert found >= 0.9 * sum(map(len, links.values())) and sum(got[q].n_links for q in asked) >= 0.9 * sum(map(len, links.values()))
+
+
 def test_one_of_each_drops_repeated_rows(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "other words", None)], "doc_id long, text string, sid string")

@@ -7,8 +7,8 @@ all its words). Documents of one set are copies: a representative stands for the
    token sets, whose overlap estimates the Jaccard similarity.
 2. A run splits the sets recursively: a node of its tree samples one token place
    by its own hash, and the sets of the node that share the token there go to one
-   child. Buckets of at most LEAF sets are compared in full. Larger ones are split
-   further, or, where their sets are as similar on average as the join asks or at
+   child. Buckets are counted first, and only those of at most LEAF sets are dealt
+   to a task, which compares them in full. Larger ones are split further, or, where their sets are as similar on average as the join asks or at
    depth DEPTH, compared in full by pairs of LEAF-sized groups. Runs and depths
    sample from places of their own, so two sets at the threshold s stay together
    down to depth d with a probability of s^d, whatever happens in other runs; the
@@ -47,6 +47,8 @@ MINHASHES = 96
 RECALL = 0.999
 LEAF, VERIFY, DEPTH = 4096, 1024, 3
 MARGIN = 0.15
+#: Rows of 16 bytes that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 21
 RUN_BITS = 14
 NO_ID = blocks.NO_ID
 
@@ -141,14 +143,9 @@ def _forest(same: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(rows: DataFrame, similarity: float, leaf: int | None, partitions: int) -> DataFrame:
-    """(a, b, bucket) of rows (bucket, sid, sketch), dealt once by bucket.
-
-    A bucket of at most ``leaf`` rows gives a spanning forest (a, b) of its sets at
-    a similarity lower by MARGIN. The rows of a larger one come back as (a, null,
-    bucket), without being held.
-    """
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("bucket", pa.int64())])
+def compare(rows: DataFrame, similarity: float, partitions: int) -> DataFrame:
+    """(a, b) of rows (bucket, sid, sketch), none of whose buckets is large: a spanning forest of each bucket's sets at a similarity lower by MARGIN."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
     least = int((similarity - MARGIN) * MINHASHES)
 
     def bucket(held: list[tuple]) -> Iterator[tuple]:
@@ -159,25 +156,28 @@ def compare(rows: DataFrame, similarity: float, leaf: int | None, partitions: in
         same = np.zeros((len(m), len(m)), bool)
         for i in range(len(m)):
             same[i] = np.count_nonzero(m == m[i], axis=1) >= least
-        yield from ((names[a][0], names[b][0], None) for a, b in _forest(same))
+        yield from ((names[a][0], names[b][0]) for a, b in _forest(same))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
-            now, held, large = None, [], False
+            now, held = None, []
             for key, sid, sketch in blocks.row_tuples(batches):
                 if key != now:
                     yield from bucket(held)
-                    now, held, large = key, [], False
+                    now, held = key, []
                 held.append((sid, sketch))
-                if large or leaf is not None and len(held) > leaf:
-                    large = True
-                    yield from ((s, None, key) for s, _ in held)
-                    held = []
             yield from bucket(held)
 
         return emit(schema, out())
 
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a string, b string, bucket long")
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a string, b string")
+
+
+def counted(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, int]:
+    """(key, n) of the keys with more than ``least`` rows, at most one for every ``least`` rows, and how many there are; counts are summed within map tasks first."""
+    large = shared_table(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least), "large")
+    n = large.count()
+    return (F.broadcast(large) if n <= BROADCAST_ROWS else large), n
 
 
 def tiled(rows: DataFrame, key: str, size: str, leaf: int, name: str) -> DataFrame:
@@ -189,9 +189,10 @@ def tiled(rows: DataFrame, key: str, size: str, leaf: int, name: str) -> DataFra
     return rows.withColumn(name, F.explode(F.when(F.col(size) <= leaf, one).otherwise(many)))
 
 
-def tight(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path) of the buckets (path, sid, tokens) whose sets are on average nearly as similar to one of them as asked."""
+def tight(rows: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(path) of the ``n`` buckets (path, sid, tokens) whose sets are on average nearly as similar to one of them as asked."""
     pivot = rows.groupBy("path").agg(F.min_by("tokens", "sid").alias("pivot"))
+    pivot = F.broadcast(pivot) if n <= BROADCAST_ROWS // 32 else pivot
     alike = sum((F.substring("tokens", 4 * i + 1, 4) == F.substring("pivot", 4 * i + 1, 4)).cast("int") for i in range(MINHASHES))
     return rows.join(pivot, "path").groupBy("path").agg(F.avg(alike).alias("alike")).where(F.col("alike") >= 0.9 * similarity * MINHASHES).select("path")
 
@@ -204,27 +205,29 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     rows = split(tokens.select(F.lit(0).cast("long").alias("path"), "sid", "tokens"), 1, runs)
     edges = None
     for depth in range(1, DEPTH + 1):
-        got = shared_table(compare(rows, similarity, LEAF, partitions), "compared")
-        found = got.where("b is not null").select("a", "b")
+        rows = shared_table(rows, "rows")
+        large, n = counted(rows, "bucket", LEAF)
+        found = shared_table(compare(rows.join(large.select("bucket"), "bucket", "left_anti") if n else rows, similarity, partitions), "compared")
         edges = found if edges is None else edges.unionByName(found)
-        if got.where("b is null").isEmpty():
+        if not n:
             break
-        large = shared_table(got.where("b is null").select(F.col("bucket").alias("path"), F.col("a").alias("sid")).join(tokens, "sid").select("path", "sid", "tokens"), "large")
-        full = large.select("path").distinct() if depth == DEPTH else shared_table(tight(large, similarity), "tight")
-        done = large.join(full, "path", "left_semi")
-        sized = done.join(done.groupBy("path").agg(F.count("*").alias("n")), "path")
+        # large buckets aren't dealt as such: their rows are split again, or go to tiles
+        held = rows.select("bucket", "sid").join(large, "bucket").withColumnRenamed("bucket", "path")
+        held = shared_table(held.join(tokens, "sid").select("path", "n", "sid", "tokens"), "held")
+        full = large.select(F.col("bucket").alias("path")) if depth == DEPTH else shared_table(tight(held, similarity, n), "tight")
+        full = F.broadcast(full) if n <= BROADCAST_ROWS else full
         sketch = F.expr(f"unhex(array_join(transform(sequence(0, {MINHASHES - 1}), i -> hex(substring(tokens, 4 * i + 1, 1))), ''))")
-        tiles = tiled(sized, "path", "n", LEAF, "tile").select(F.xxhash64("tile").alias("bucket"), "sid", sketch.alias("sketch"))
-        edges = edges.unionByName(shared_table(compare(tiles, similarity, None, partitions), "tiles").select("a", "b"))
+        tiles = tiled(held.join(full, "path", "left_semi"), "path", "n", LEAF, "tile").select(F.xxhash64("tile").alias("bucket"), "sid", sketch.alias("sketch"))
+        edges = edges.unionByName(shared_table(compare(tiles, similarity, partitions), "tiles"))
         if depth == DEPTH:
             break
-        rows = split(large.join(full, "path", "left_anti"), depth + 1, runs)
+        rows = split(held.select("path", "sid", "tokens").join(full, "path", "left_anti"), depth + 1, runs)
     return edges.distinct()
 
 
 def verify(members: DataFrame, docs: DataFrame, similarity: float, partitions: int) -> tuple[DataFrame, DataFrame]:
     """(sid, links) and (a, b) of the pairs within each label of members (label, sid, first_doc, copies) that are similar in fact."""
-    sized = members.join(members.groupBy("label").agg(F.count("*").alias("n")), "label")
+    sized = members.join(counted(members, "label", VERIFY)[0], "label", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
     own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("first_doc"), "text")
     texts = own.join(sized, "first_doc")
     held = pa.schema([("label", pa.string()), ("n", pa.int64()), ("sid", pa.string()), ("copies", pa.int64()), ("found", pa.binary())])
