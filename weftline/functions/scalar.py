@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that Windows keeps for devices (fixed values).
-DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
+DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(10)), *(f"LPT{i}" for i in range(10)))
 
 
 def int_from_float(value: Column) -> Column:
@@ -81,7 +81,28 @@ def plural(n: Column, word: str) -> Column:
 
 
 def strings_inside(text: Column) -> Column:
-    """All string values of a JSON document, at any depth, as they stand in its text."""
+    """All string values of a JSON document, at any depth, with their escapes resolved."""
     quoted = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'), F.lit(0))
     values = F.filter(quoted, lambda q: q.endswith('"'))
-    return F.transform(values, lambda s: F.regexp_replace(F.regexp_replace(s, '^"|"$', ""), r"\\(.)", "$1"))
+    return F.transform(values, lambda s: F.try_variant_get(F.try_parse_json(s), "$", "string"))
+
+
+def digits_wide(n: Column) -> Column:
+    """How many characters the largest index of n takes."""
+    return F.length(F.greatest(n - 1, F.lit(0)).cast("string"))
+
+
+def stamp(ts: Column) -> Column:
+    """A time as log lines begin with it."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def aliases(path: Column, links: Column) -> Column:
+    """The path under every alias of a folder above it: links is an array of (folder, alias)."""
+    hit = F.filter(links, lambda x: inside(path, x["folder"]))
+    return F.array_distinct(F.concat(F.array(path), F.transform(hit, lambda x: F.concat(x["alias"], F.substring(path, F.length(x["folder"]) + 1, F.length(path))))))
+
+
+def clean_bytes(value: Column) -> Column:
+    """Bytes as UTF-8 text, bad ones left out."""
+    return F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(value.cast("string"))), "\ufffd", "")

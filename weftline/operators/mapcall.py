@@ -49,6 +49,17 @@ def zipped_maps(left: Column, right: Column) -> Column:
     return F.when(same, both).when(left.isNotNull() & right.isNotNull(), F.raise_error(F.lit("mapped over maps with different keys")))
 
 
+def zipped_by_key(**maps: Column) -> Column:
+    """Maps of equal key sets in lock-step: a map of structs. Any NULL map gives NULL."""
+    first, *rest = maps.values()
+    even, known = F.lit(True), first.isNotNull()
+    for other in rest:
+        even = even & (F.array_sort(F.map_keys(first)) == F.array_sort(F.map_keys(other)))
+        known = known & other.isNotNull()
+    together = F.transform_values(first, lambda k, v: F.struct(*((v if m is first else m[k]).alias(n) for n, m in maps.items())))
+    return F.when(known & even, together).when(known, F.raise_error(F.lit("mapped over maps with different keys")))
+
+
 def mismatch(*sizes: Column) -> Column:
     """The error text of a zip over collections of these sizes, else NULL."""
     first, *rest = sizes
@@ -115,6 +126,13 @@ def element(values: Column, index: Column | int, strict: bool = True) -> Column:
     return F.when(at < F.size(values), F.get(values, at)).when(values.isNotNull() & F.lit(strict), F.raise_error(F.lit("index out of range")))
 
 
+def fork_key_name(key: Column) -> Column:
+    """fork_<key> of a map's fork, percent escaped."""
+    from ..functions.scalar import path_escape
+
+    return F.concat(F.lit("fork_"), path_escape(key))
+
+
 def fork_name(index: Column, size: Column) -> Column:
     """forkN with leading zeros for the width of the last index."""
     width = F.length(F.greatest(size - 1, F.lit(0)).cast("string"))

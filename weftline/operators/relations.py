@@ -13,9 +13,21 @@ def reconcile(believed: DataFrame, reported: DataFrame, key: str) -> DataFrame:
     return believed.join(reported.select(key).distinct(), key, "left_anti")
 
 
-def journal_lookup(journal: DataFrame, nodes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Entries of known nodes, and those to warn of."""
-    return journal.join(nodes, key), journal.join(nodes.select(key), key, "left_anti")
+def missing_since(believed: DataFrame, reported: DataFrame, key: str, since: str, now: Column, grace: Column) -> DataFrame:
+    """The believed jobs, ``since`` stamped with ``now`` where one is first missed and cleared where it is reported, and ``failed`` where it has been missed for longer than the grace period."""
+    seen = reported.select(key).distinct().withColumn("_seen", F.lit(True))
+    both = believed.join(seen, key, "left")
+    stamped = both.withColumn(since, F.when(F.col("_seen").isNull(), F.coalesce(F.col(since), now))).drop("_seen")
+    return stamped.withColumn("failed", F.coalesce(now - F.col(since) > grace, F.lit(False)))
+
+
+def journal_lookup(journal: DataFrame, nodes: DataFrame, key: str, uniquifier: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries of known nodes, and those to warn of. With a uniquifier, known entries of an earlier attempt (another one than the node's) are ignored."""
+    if uniquifier is None:
+        return journal.join(nodes, key), journal.join(nodes.select(key), key, "left_anti")
+    current = journal[uniquifier].eqNullSafe(nodes[uniquifier])
+    known = journal.join(nodes, (journal[key] == nodes[key]) & current).drop(nodes[key], nodes[uniquifier])
+    return known, journal.join(nodes.select(key), key, "left_anti")
 
 
 def prefixes(name: Column) -> Column:

@@ -31,6 +31,14 @@ def rollup(jobs: DataFrame, keys: Sequence[str], start: str, end: str, duration:
     )
 
 
+def rollup_paths(jobs: DataFrame, path: str, *args, **more) -> DataFrame:
+    """``rollup`` for every node of the tree of dotted paths: a job counts for its own path and all above it."""
+    from .relations import prefixes
+
+    every = jobs.withColumn("_p", F.explode(prefixes(F.col(path)))).withColumn(path, F.col("_p.prefix")).drop("_p")
+    return rollup(every, [path], *args, **more)
+
+
 def weighted_dev(amount: Column, duration: Column) -> Column:
     """Deviation of children's rates weighted by their durations; children without a duration don't count."""
     x = F.when(duration > 0, amount)
@@ -46,6 +54,14 @@ def sampled_rates(samples: DataFrame, keys: Sequence[str], at: str, amount: str)
     return got.withColumn("max_rate", F.max("rate").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
+def rate_stats(samples: DataFrame, keys: Sequence[str], at: str, amount: str) -> DataFrame:
+    """For each key the largest rate between neighbouring samples, the rate over all of them and the deviation of the rates weighted by time."""
+    w = W.partitionBy(*keys).orderBy(at)
+    steps = samples.select(*keys, (F.col(at) - F.lag(at).over(w)).cast("double").alias("_dt"), (F.col(amount) - F.lag(amount).over(w)).cast("double").alias("_dx")).where("_dt > 0")
+    t, mean = F.sum("_dt"), F.sum("_dx") / F.sum("_dt")
+    return steps.groupBy(*keys).agg(F.max(F.col("_dx") / F.col("_dt")).alias("max_rate"), mean.alias("rate"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_dx") * F.col("_dx") / F.col("_dt")) / t - mean * mean)).alias("rate_dev"))
+
+
 def dead_usage(samples: DataFrame, keys: Sequence[str], at: str, amount: str) -> DataFrame:
     """The last total of each process, which stays after it is gone."""
     return samples.groupBy(*keys).agg(F.max_by(amount, at).alias(amount))
@@ -84,13 +100,33 @@ def high_water(events: DataFrame, keys: Sequence[str], order: Sequence[str], del
     return events.withColumn("_t", F.sum(delta).over(w)).groupBy(*keys).agg(F.greatest(F.max("_t"), F.lit(0)).alias("high_water"), F.sum(delta).alias("total"))
 
 
-def merge_reports(reports: DataFrame, keys: Sequence[str], size: str, paths: str, at: str) -> DataFrame:
-    return reports.groupBy(*keys).agg(F.sum(size).alias("size"), F.count("*").alias("count"), F.sort_array(F.collect_list(paths)).alias("paths"), F.max(at).alias("latest"))
+def merge_reports(reports: DataFrame, keys: Sequence[str], size: str, path: str, at: str) -> DataFrame:
+    """Reports as one: sizes and counts added, different paths counted, the latest time. The paths themselves stay rows: ``reports`` deduplicated by path."""
+    return reports.groupBy(*keys).agg(F.sum(size).alias("size"), F.count("*").alias("count"), F.count_distinct(path).alias("paths"), F.max(at).alias("latest"))
+
+
+def merge_report_events(events: DataFrame, keys: Sequence[str], at: str, second: Column, delta: str) -> DataFrame:
+    """The events of several reports as one list in order of time, neighbours in one second and of one sign merged."""
+    return merge_islands(events, keys, (at, delta), second, delta)
+
+
+def roots(processes: DataFrame, process: str, parent: str) -> DataFrame:
+    """(process, root) of a process table: the ancestor without a known parent, by pointer jumping."""
+    links = processes.select(F.col(process).alias("p"), F.col(parent).alias("up")).distinct()
+    known = links.select(F.col("p").alias("k"))
+    tree = links.join(known, F.col("up") == F.col("k"), "left").select("p", F.coalesce("k", "p").alias("root")).checkpoint()
+    while True:
+        jump = tree.select(F.col("p").alias("root"), F.col("root").alias("next"))
+        new = tree.join(jump, "root").select("p", "root", "next").checkpoint()
+        if new.where("root <> next").isEmpty():
+            return new.select(F.col("p").alias(process), "root")
+        tree = new.select("p", F.col("next").alias("root"))
 
 
 def memory_high_water(samples: DataFrame, keys: Sequence[str], process: str, at: str, fields: Sequence[str]) -> DataFrame:
-    """Sum over a process tree at each sample, then the largest by field."""
-    tree = samples.groupBy(*keys, at).agg(*(F.sum(f).alias(f) for f in fields))
+    """Each process's largest value at a sample, summed over the process tree (``keys`` hold its root, see ``roots``), then the largest by field."""
+    each = samples.groupBy(*keys, at, process).agg(*(F.max(f).alias(f) for f in fields))
+    tree = each.groupBy(*keys, at).agg(*(F.sum(f).alias(f) for f in fields))
     return tree.groupBy(*keys).agg(*(F.max(f).alias(f) for f in fields))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import TypeId, Types
@@ -68,9 +68,9 @@ class Report:
     alarms: Column
 
 
-def arguments(doc: Column, params: Mapping[str, TypeId], types: Types, optional: tuple[str, ...] = (), outputs: bool = False) -> Report:
-    """Checks a JSON object column against parameters: a missing one is an error, an unknown one an error (of outputs: an alarm)."""
-    value = F.try_parse_json(doc)
+def arguments(doc: Column, params: Mapping[str, TypeId], types: Types, optional: tuple[str, ...] = (), outputs: bool = False, parsed: bool = False) -> Report:
+    """Checks a JSON object column against parameters: a missing one is an error, an unknown one an error (of outputs: an alarm). ``parsed``: doc is a VARIANT."""
+    value = doc if parsed else F.try_parse_json(doc)
     members = F.try_variant_get(value, "$", "map<string,variant>")
     none = F.array().cast("array<string>")
     each = [F.when(F.array_contains(F.map_keys(members), p), variant_errors(members[p], t, types, p)).otherwise(F.array(F.lit(f"missing {'output' if outputs else 'parameter'} {p}"))) for p, t in params.items()]
@@ -80,6 +80,18 @@ def arguments(doc: Column, params: Mapping[str, TypeId], types: Types, optional:
     return Report(errors, F.coalesce(extra, none) if outputs else none)
 
 
+def returns(outs: Mapping[str, Column], params: Mapping[str, TypeId], literals: tuple[str, ...] = ()) -> Column:
+    """Errors of a pipeline's outputs: a missing one is an error; those bound to literals are trusted."""
+    missing = [F.when(F.lit(p not in outs and p not in literals), F.lit(f"missing output {p}")) for p in params]
+    return F.array_compact(F.array(*missing))
+
+
+def collected(records: DataFrame, keys: Sequence[str], alarms: str, order: str) -> DataFrame:
+    """Alarms over a run: how many, of how many records, and the first record that has one. Nothing stops for them."""
+    n = F.size(alarms)
+    return records.groupBy(*keys).agg(F.sum(n).cast("long").alias("alarms"), F.count("*").alias("records"), F.min(F.when(n > 0, F.col(order))).alias("first"))
+
+
 def enforce(errors: Column, level: str) -> Column:
     """The policy: ``error`` raises where there are errors, ``alarm`` and ``log`` keep them, ``disable`` drops them."""
     if level not in LEVELS:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import expr, lineage, mapcall, relations, resources, scatter, stats, telemetry, validate
 from ..types import TypeId, Types
-from . import language
+from . import graph, language
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -259,12 +259,54 @@ def json_path_props(t):
 @query("""select event_id, case when json_extract_string(props, '$.k') is null then 1 else 0 end::bigint + case when try_cast(json_extract_string(props, '$.k') as bigint) is null and json_extract_string(props, '$.k') is not null then 1 else 0 end::bigint as int_errors,
 1::bigint as string_errors, 2::bigint as missing_errors from events""")
 def typed_validation(t):
-    e = t("events")
+    e = t("events").select("event_id", F.try_parse_json("props").alias("v"))
     none = Types.of()
-    n = lambda params: F.size(validate.arguments(F.col("props"), {k: TypeId.parse(v) for k, v in params.items()}, none).errors).cast("long")
+    n = lambda params: F.size(validate.arguments(F.col("v"), {k: TypeId.parse(v) for k, v in params.items()}, none, parsed=True).errors).cast("long")
     return e.select("event_id", n({"k": "int"}).alias("int_errors"), n({"k": "string"}).alias("string_errors"), n({"other": "float"}).alias("missing_errors"))
 
 
+@query("""select l_orderkey, (count(*) filter (where l_returnflag = 'R') + count(*) filter (where l_linestatus = 'F') + max(case when l_orderkey % 4 = 0 then 1 else 0 end))::bigint as errors,
+count(*) filter (where l_returnflag = 'R')::bigint as quantity_errors from lineitem group by l_orderkey""")
+def typed_validation_nested(t):
+    """Documents of nested structs: a quantity that is text, a missing member, a whole number with a fraction."""
+    line = F.struct(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("q"), F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")).alias("q_text"), F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).alias("status"))
+    head = F.struct(F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey") + 0.5).otherwise(F.col("l_orderkey")).alias("id"), "lines")
+    docs = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines")).select("l_orderkey", F.try_parse_json(F.replace(F.to_json(head), F.lit('"q_text"'), F.lit('"q"'))).alias("v"))
+    types = Types.of({"LINE": {"q": "float", "status": "string"}})
+    errors = validate.arguments(F.col("v"), {"id": TypeId.parse("int"), "lines": TypeId.parse("LINE[]")}, types, parsed=True).errors
+    found = docs.select("l_orderkey", errors.alias("e"))
+    return found.select("l_orderkey", F.size("e").cast("long").alias("errors"), F.size(F.filter("e", lambda x: x.contains(".q: not a legal float"))).cast("long").alias("quantity_errors"))
+
+
+DOCS = """select o_orderkey, o_orderstatus, o_orderpriority from orders"""
+
+
+@query(f"""with d as ({DOCS}) select o_orderkey, (case when o_orderstatus = 'F' then 1 else 0 end + case when o_orderpriority like '1%' then 1 else 0 end)::bigint as errors,
+case when o_orderstatus = 'P' then 1 else 0 end::bigint as alarms from d""")
+def output_validation(t):
+    """Outputs: a missing one (status F) and one of another type (priority 1) are errors, an unexpected one (status P) is an alarm."""
+    o = t("orders")
+    doc = F.struct(F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderpriority").startswith("1"), F.lit(1)).alias("name_number"), F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("name"), F.when(F.col("o_orderstatus") == "P", F.lit("x")).alias("more"))
+    held = o.select("o_orderkey", F.try_parse_json(F.replace(F.to_json(doc), F.lit('"name_number"'), F.lit('"name"'))).alias("v"))
+    report = validate.arguments(F.col("v"), {"price": TypeId.parse("float"), "name": TypeId.parse("string")}, Types.of(), outputs=True, parsed=True)
+    return held.select("o_orderkey", F.size(report.errors).cast("long").alias("errors"), F.size(report.alarms).cast("long").alias("alarms"))
+
+
+@query("select o_custkey, count(*) filter (where o_orderstatus = 'P') as alarms, count(*) as records, min(o_orderkey) filter (where o_orderstatus = 'P') as first_alarm from orders group by o_custkey")
+def alarm_ledger(t):
+    """Alarms of all records of a run, collected without stopping it."""
+    held = t("orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.array(F.lit("pending"))).otherwise(F.array().cast("array<string>")).alias("alarms"))
+    return validate.collected(held, ["o_custkey"], "alarms", "o_orderkey").select("o_custkey", "alarms", "records", F.col("first").alias("first_alarm"))
+
+
+@query("select o_orderkey, o_orderstatus = 'P' as failed, case when o_orderstatus = 'F' then null else o_totalprice end as price from orders")
+def null_control_reported(t):
+    """A NULL control (status P) is an error of its record, neither true nor false."""
+    flag = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
+    held = t("orders").select("o_orderkey", "o_totalprice", flag.alias("off"))
+    return held.select("o_orderkey", F.col("off").isNull().alias("failed"), expr.disabled(F.col("o_totalprice"), F.coalesce("off", F.lit(False))).alias("price"))
+
+
 # Conditional calls
 
 
@@ -385,11 +427,49 @@ def high_water_mark(t):
 
 @query(f"""with j as ({JOB}) select event_type, sum(k)::bigint as size, count(*) as count, max(us) as latest, count(distinct user_id) as paths from j group by event_type""")
 def kill_report_merge(t):
-    got = telemetry.merge_reports(jobs(t).withColumn("p", F.col("user_id").cast("string")), ["event_type"], "k", "p", "us")
-    return got.select("event_type", "size", "count", "latest", F.size(F.array_distinct("paths")).cast("long").alias("paths"))
+    return telemetry.merge_reports(jobs(t).withColumn("p", F.col("user_id").cast("string")), ["event_type"], "k", "p", "us")
 
 
-@query(f"""with s as (select event_type, us // 86400000000 as day, sum(k) as a, sum(k * 3 % 101) as b from ({JOB}) group by all)
+@query(f"""with j as (select *, us // 3600000000 as s, case when k >= 50 then k else -k end as d from ({JOB})),
+m as (select *, case when lag(s) over w = s and (lag(d) over w >= 0) = (d >= 0) then 0 else 1 end as new from j window w as (partition by event_type order by us, d)),
+g as (select *, sum(new) over (partition by event_type order by us, d rows unbounded preceding) as island from m)
+select event_type, min(s)::bigint as second, sum(d)::bigint as d, count(*) as n from g group by event_type, island""")
+def kill_report_events(t):
+    """The reports of all users of an event type as one list of events."""
+    j = jobs(t).withColumn("d", F.when(F.col("k") >= 50, F.col("k")).otherwise(-F.col("k")))
+    return telemetry.merge_report_events(j, ["event_type"], "us", F.floor(F.col("us") / F.lit(3600000000)), "d").select("event_type", F.col("second").cast("long").alias("second"), "d", "n")
+
+
+@query(f"""with j as ({JOB}), u as (select user_id, min(us) as us from j group by user_id),
+t as (select a.user_id, a.user_id // 5 as root from u a), s as (select us // 86400000000 as day, user_id, max(k) as a from j group by all),
+x as (select root, day, sum(a) as a from s join t using (user_id) group by all) select root::bigint as root, max(a)::bigint as a from x group by root""")
+def process_tree_memory(t):
+    """Users as processes of which each but the first of five is a child of the one before; a tree is named by its first one's number / 5."""
+    j = jobs(t).withColumns({"day": F.floor(F.col("us") / F.lit(86400000000)), "a": F.col("k")})
+    span = j.select("user_id").distinct().agg(F.max("user_id").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("p"))
+    tree = telemetry.roots(span.withColumn("up", F.when(F.col("p") % 5 != 0, F.col("p") - 1)), "p", "up")
+    held = j.join(tree, F.col("user_id") == F.col("p")).withColumn("root", F.floor(F.col("root") / 5))
+    return telemetry.memory_high_water(held, ["root"], "user_id", "day", ["a"])
+
+
+@query(f"""with j as ({JOB}), r as (select user_id, (us - lag(us) over w) / 1000000.0 as dt, (k - lag(k) over w)::double as dx from j window w as (partition by user_id order by us)), p as (select * from r where dt > 0)
+select user_id, round(max(dx / dt), 6) as max_rate, round(sum(dx) / sum(dt), 6) as rate, round(sqrt(greatest(0.0, sum(dx * dx / dt) / sum(dt) - (sum(dx) / sum(dt)) ** 2)), 4) as rate_dev from p group by user_id""")
+def io_rate_stats(t):
+    got = telemetry.rate_stats(jobs(t).withColumn("s", F.col("us") / F.lit(1000000.0)), ["user_id"], "s", "k")
+    return got.select("user_id", F.round("max_rate", 6).alias("max_rate"), F.round("rate", 6).alias("rate"), F.round("rate_dev", 4).alias("rate_dev"))
+
+
+@query(f"""with j as ({JOB}), p as (select unnest(['run', 'run.' || event_type, 'run.' || event_type || '.' || user_id]) as node, * from j)
+select node, min(us) as start, max(us + k) as "end", max(us + k) - min(us) as walltime, sum(k)::bigint as duration, sum(k * 13 % 50)::bigint as io,
+case when sum(k) > 0 then sum(k * 13 % 50)::double / sum(k)::double end as io_rate from p group by node""")
+def perf_rollup_tree(t):
+    k = F.col("k")
+    held = jobs(t).withColumns({"e": F.col("us") + k, "io": k * 13 % 50, "node": F.concat_ws(".", F.lit("run"), "event_type", F.col("user_id").cast("string"))})
+    return telemetry.rollup_paths(held, "node", "us", "e", "k", ["io"])
+
+
+@query(f"""with e as (select event_type, us // 86400000000 as day, user_id, max(k) as a, max(k * 3 % 101) as b from ({JOB}) group by all),
+s as (select event_type, day, sum(a) as a, sum(b) as b from e group by all)
 select event_type, max(a)::bigint as a, max(b)::bigint as b from s group by event_type""")
 def memory_high_water(t):
     j = jobs(t).withColumns({"day": F.floor(F.col("us") / F.lit(86400000000)), "a": F.col("k"), "b": F.col("k") * 3 % 101})
@@ -421,18 +501,38 @@ def journal_lookup(t):
     return known.select("event_id", F.lit(True).alias("known")).unionByName(odd.select("event_id", F.lit(False).alias("known")))
 
 
+@query("""with b as (select o_orderkey, epoch_us(o_orderdate::timestamp) as d, o_orderstatus, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'O') as seen from orders),
+s as (select o_orderkey, case when not seen then coalesce(case when o_orderstatus = 'P' then 100 end, 5000) end::bigint as since from b)
+select o_orderkey, since, coalesce(5000 - since > 3600, false) as failed from s""")
+def queue_grace(t):
+    """Jobs (orders) that the cluster (lines of status O) doesn't report: stamped when first missed, failed after the grace period."""
+    believed = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit(100)).cast("long").alias("since"))
+    reported = t("lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relations.missing_since(believed, reported, "o_orderkey", "since", F.lit(5000).cast("long"), F.lit(3600))
+
+
+@query("""with j as (select event_id, user_id as node, event_type as u from events), n as (select c_custkey as node, case when c_acctbal > 5000 then 'error' else 'signup' end as u from customer)
+select event_id, 'current' as entry from j join n using (node, u) union all select event_id, 'unknown' as entry from j where node not in (select node from n)""")
+def journal_uniquifiers(t):
+    """Journal entries of known nodes; those of an earlier attempt are ignored, those of unknown nodes warned of."""
+    journal = t("events").select("event_id", F.col("user_id").alias("node"), F.col("event_type").alias("u"))
+    nodes = t("customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_acctbal") > 5000, "error").otherwise("signup").alias("u"))
+    known, odd = relations.journal_lookup(journal, nodes, "node", "u")
+    return known.select("event_id", F.lit("current").alias("entry")).unionByName(odd.select("event_id", F.lit("unknown").alias("entry")))
+
+
 NAMES = "select c_custkey, 'top.' || r_name || '.' || n_name || '.' || c_name as name, r_name, n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 
 
-@query(f"""with n as ({NAMES}), o as (select 'top.' || r_name as key, r_regionkey * 100 as value from region where r_regionkey % 2 = 0
-union all select 'top.' || r_name || '.' || n_name, n_nationkey from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 = 0),
+@query(f"""with n as ({NAMES}), o as (select 'top.' || r_name as key, r_regionkey * 100 as value from region where r_name < 'E'
+union all select 'top.' || r_name || '.' || n_name, n_nationkey from nation join region on n_regionkey = r_regionkey where n_name > 'NATION_15'),
 p as (select c_custkey, value, length(key) as d from n join o on name = key or starts_with(name, key || '.'))
 select n.c_custkey, coalesce(arg_max(value, d), -1)::bigint as value from n left join p on n.c_custkey = p.c_custkey group by n.c_custkey""")
 def nearest_ancestor_override(t):
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     names = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(".", F.lit("top"), "r_name", "n_name", "c_name").alias("name"))
-    top = t("region").where("r_regionkey % 2 = 0").select(F.concat(F.lit("top."), "r_name").alias("key"), (F.col("r_regionkey") * 100).cast("long").alias("value"))
-    low = nation.where("n_nationkey % 3 = 0").select(F.concat_ws(".", F.lit("top"), "r_name", "n_name").alias("key"), F.col("n_nationkey").cast("long").alias("value"))
+    top = t("region").where("r_name < 'E'").select(F.concat(F.lit("top."), "r_name").alias("key"), (F.col("r_regionkey") * 100).cast("long").alias("value"))
+    low = nation.where("n_name > 'NATION_15'").select(F.concat_ws(".", F.lit("top"), "r_name", "n_name").alias("key"), F.col("n_nationkey").cast("long").alias("value"))
     return relations.nearest_override(names, "name", top.unionByName(low), "key", "value", -1).select("c_custkey", "value")
 
 
@@ -450,10 +550,10 @@ def path_containment_join(t):
     return relations.containment(files, "f", args, "a")
 
 
-@query(f"""{PATHS}, b as (select a from a where length(a) % 2 = 0) select f from f where not exists (select 1 from b where f = a or starts_with(f, a || '/') or starts_with(a, f || '/'))""")
+@query(f"""{PATHS}, b as (select a from a where contains(a, '/')) select f from f where not exists (select 1 from b where f = a or starts_with(f, a || '/') or starts_with(a, f || '/'))""")
 def unreferenced_files(t):
     files, args = paths(t)
-    return relations.unreferenced(files, "f", args.where("length(a) % 2 = 0"), "a")
+    return relations.unreferenced(files, "f", args.where("contains(a, '/')"), "a")
 
 
 @query(f"""{PATHS}, u as (select f as p, length(f) as n from f union all select a, length(a) from a), g as (select p, sum(n) as n from u group by p),
@@ -592,3 +692,72 @@ def program_mapped_pipeline(t):
     kinds = t("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list("l_quantity").alias("q"))
     held = kinds.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "q"))).alias("sets")).withColumn("off", F.lit(False))
     return program.apply("BY_KIND", held, keep=("l_orderkey",)).select("l_orderkey", F.explode("sums").alias("kind", "sum"))
+
+
+SPLIT_PROGRAM = """
+stage SUM_SQUARES(in float[] values, out float sum, out int chunks, src py "sum_squares") split (in float[] part, out float square)
+pipeline CHECKED(in float[] values, out float sum, out int chunks)
+{
+    call preflight CHECK(values = self.values)
+    call SUM_SQUARES(values = self.values)
+    return (sum = SUM_SQUARES.sum, chunks = SUM_SQUARES.chunks)
+}
+"""
+SPLIT_BODIES = {
+    "CHECK": lambda values: {"values may not be null": values.isNotNull()},
+    "SUM_SQUARES": graph.Body(
+        split=lambda values: F.transform(scatter.chunk_array(values, 3), lambda p: F.struct(p.alias("part"))),
+        main=lambda values, part: {"square": F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)},
+        join=lambda values, chunk_defs, chunk_outs: {"sum": F.aggregate(chunk_outs, F.lit(0.0), lambda a, o: a + o["square"]), "chunks": F.size(chunk_defs)},
+    ),
+}
+
+
+@query("select l_orderkey, sum(l_quantity * l_quantity) as sum, ((count(*) + 2) // 3)::bigint as chunks from lineitem group by l_orderkey")
+def program_split_stage(t):
+    """A stage of split, main and join, behind a preflight check."""
+    program, _ = language.load('stage CHECK(in float[] values, src py "check")' + SPLIT_PROGRAM, SPLIT_BODIES)
+    held = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("values"))
+    return program.apply("CHECKED", held, keep=("l_orderkey",))
+
+
+ZIP_PROGRAM = """
+stage ADD(in float a, in float b, out float s, src py "add")
+stage TWICE(in float x, out float y, src py "twice")
+pipeline EACH(in map<float> l, in map<float> r, in map<bool> off, in float[] xs, out map<float> sums, out float[] eight)
+{
+    map call ADD(a = split self.l, b = split self.r) using (disabled = self.off)
+    map call TWICE as A(x = split self.xs)
+    map call TWICE as B(x = split A.y)
+    map call TWICE as C(x = split B.y)
+    return (sums = ADD.s, eight = C.y)
+}
+"""
+
+
+def _zipped(t):
+    program, _ = language.load(ZIP_PROGRAM, {"ADD": lambda a, b: {"s": a + b}, "TWICE": lambda x: {"y": x * 2}})
+    flags = t("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.sum("l_tax").alias("x"))
+    entry = lambda v: F.map_from_entries(F.collect_list(F.struct("l_returnflag", v)))
+    held = flags.groupBy("l_orderkey").agg(entry(F.col("q")).alias("l"), entry(F.col("x")).alias("r"), entry(F.col("l_returnflag") == "R").alias("off"), F.collect_list("q").alias("xs"))
+    return program.apply("EACH", held, keep=("l_orderkey",))
+
+
+@query("select l_orderkey, l_returnflag as flag, case when l_returnflag = 'R' then null else round(sum(l_quantity) + sum(l_tax), 6) end as sum from lineitem group by l_orderkey, l_returnflag")
+def program_zipped_maps(t):
+    """Two maps in lock-step, a control for each fork."""
+    return _zipped(t).select("l_orderkey", F.explode("sums").alias("flag", "sum")).withColumn("sum", F.round("sum", 6))
+
+
+@query("select l_orderkey, 8 * sum(l_quantity) as total from lineitem group by l_orderkey")
+def program_fused_calls(t):
+    """Three mapped calls over each other's results alone: one pass."""
+    return _zipped(t).select("l_orderkey", F.aggregate("eight", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("select * from (values (0::bigint, 'a', 25.0::double), (1::bigint, 'b', null), (2::bigint, 'c', 0.0::double)) v(fork_ix, fork_key, sum)")
+def program_top_call(t):
+    """A mapped top call: a row a fork."""
+    program, top = language.load(PROGRAM + 'map call SUM_SQUARES(xs = split {"b": [1], "a": [3, 4], "c": []}, off = split {"a": false, "b": true, "c": false})', BODIES)
+    got = program.run(t("region").sparkSession, top)
+    return got.select(F.col("fork_ix").cast("long").alias("fork_ix"), "fork_key", "sum")

@@ -1,10 +1,15 @@
 """Programs as graphs of calls, and their compilation to DataFrame plans.
 
-A stage is a function from Columns to Columns; a pipeline binds calls of stages
-and pipelines to its inputs and to each other's outputs. Compiling inlines
-pipelines, checks every binding against the declared types, folds constants that
-disable calls, fuses mapped calls over one collection, and builds one ``select``:
-Catalyst sees a single projection.
+A stage is a function from Columns to Columns, or three of them (split, main,
+join); a pipeline binds calls of stages and pipelines to its inputs and to each
+other's outputs. Compiling inlines pipelines, checks every binding against the
+declared types, folds constants that disable calls, and fuses a mapped call with
+the one whose results alone it maps over. A call stands in the plan once, however
+often its outputs are used: of a program's own calls each is a column, of calls
+further in a lambda's variable. There is no shuffle; Catalyst sees projections.
+
+Preflight calls have checks instead of outputs. A program's own are evaluated
+before its plan is built; those further in guard their pipeline's outputs.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import expr, mapcall
+from ..operators.scatter import RESERVED
+from ..operators.validate import Assertion
 from ..types import TypeId, TypeMismatch, Types
 
 
@@ -39,12 +46,26 @@ class Split:
     value: object
 
 
+@dataclass(frozen=True)
+class Body:
+    """A stage in three parts: split(args) gives an array of chunks (structs), main(args and a chunk's) a chunk's outputs, join(args, chunk_defs, chunk_outs) the stage's."""
+
+    split: Callable[..., Column]
+    main: Callable[..., Mapping[str, Column]]
+    join: Callable[..., Mapping[str, Column]]
+
+
 @dataclass
 class Stage:
     name: str
     inputs: dict[str, TypeId]
     outputs: dict[str, TypeId]
-    body: Callable[..., Mapping[str, Column]]
+    body: Callable[..., Mapping[str, Column]] | Body
+    chunk_inputs: dict[str, TypeId] = field(default_factory=dict)
+    chunk_outputs: dict[str, TypeId] = field(default_factory=dict)
+    retain: tuple[str, ...] = ()
+    resources: dict[str, object] = field(default_factory=dict)
+    source: tuple[str, str] | None = None
 
 
 @dataclass
@@ -54,6 +75,8 @@ class Call:
     alias: str | None = None
     disabled: object = None
     preflight: bool = False
+    volatile: bool = False
+    local: bool = False
 
     @property
     def id(self) -> str:
@@ -67,6 +90,24 @@ class Pipeline:
     outputs: dict[str, TypeId]
     calls: list[Call]
     returns: dict[str, object] = field(default_factory=dict)
+    retain: list[Ref] = field(default_factory=list)
+
+
+@dataclass
+class Mapped:
+    """A mapped call that hasn't been laid out yet: what it maps over, and its result for an element."""
+
+    source: Column
+    over: str
+    call: Callable[[Column], Column]
+
+    def column(self) -> Column:
+        return mapcall.over_map(self.source, lambda _, v: self.call(v)) if self.over == "map" else mapcall.over_array(self.source, lambda x, _: self.call(x))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value in the plan once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def refs(value: object) -> list[Ref]:
@@ -124,6 +165,9 @@ class Program:
             raise CompileError(f"{name} isn't declared")
         if isinstance(pipe, Stage):
             return
+        for c in pipe.calls:
+            if c.preflight and any(r.call for v in c.bindings.values() for r in refs(v)):
+                raise CompileError(f"{c.id} is a preflight call, and depends on another")
         calls = {c.id: c for c in sort_calls(pipe.calls)}
         for c in calls.values():
             target = self.callables.get(c.target)
@@ -135,6 +179,10 @@ class Program:
                 raise CompileError(f"{c.id} has no input {', '.join(sorted(extra))}")
             if c.preflight and target.outputs:
                 raise CompileError(f"{c.id} is a preflight call with outputs")
+            if not c.preflight and not target.outputs:
+                raise CompileError(f"{c.id} has no outputs and isn't a preflight call")
+            for p, v in c.bindings.items():
+                c.bindings[p] = self.defaulted(v, target.inputs[p], pipe, calls)
             kinds = set()
             for p, v in c.bindings.items():
                 given = self.type_of(v.value if isinstance(v, Split) else v, pipe, calls)
@@ -145,16 +193,28 @@ class Program:
                     raise CompileError(f"{c.id}.{p} is a {target.inputs[p]}, not a {given}")
             if len(kinds) > 1:
                 raise CompileError(f"{c.id} maps over an array and a map at once")
-            if c.disabled is not None and (t := self.type_of(c.disabled, pipe, calls)) and t != TypeId("bool"):
+            each = {"array": TypeId("bool", 1), "map": TypeId("bool", 0, 1)}.get(next(iter(kinds), ""), None)
+            if c.disabled is not None and (t := self.type_of(c.disabled, pipe, calls)) and t not in (TypeId("bool"), each):
                 raise CompileError(f"{c.id} is disabled by a {t}")
             self.check(c.target)
+        for r in pipe.retain:
+            if (t := self.type_of(r, pipe, calls)) and self.types.contains_files(t) == "no":
+                raise CompileError(f"{name} retains {r.call}.{r.name}, which holds no files")
         for o, t in pipe.outputs.items():
             if o not in pipe.returns:
                 raise CompileError(f"{name} doesn't return {o}")
+            pipe.returns[o] = self.defaulted(pipe.returns[o], t, pipe, calls)
             given = self.type_of(pipe.returns[o], pipe, calls)
             if given and not self.types.assignable(t, given):
                 raise CompileError(f"{name}.{o} is a {t}, not a {given}")
 
+    def defaulted(self, value: object, want: TypeId, pipe: Pipeline, calls: dict[str, Call]) -> object:
+        """A whole call where its record doesn't fit, but its output ``default`` does, means that output."""
+        if isinstance(value, Ref) and value.call and value.name is None and not self.types.assignable(want, self.type_of(value, pipe, calls)):
+            if "default" in self.callables[calls[value.call].target].outputs:
+                return Ref(value.call, "default")
+        return value
+
     def over(self, call: Call, pipe: Pipeline, calls: dict[str, Call]) -> str | None:
         for v in call.bindings.values():
             if isinstance(v, Split):
@@ -209,66 +269,193 @@ class Program:
     def compile(self, name: str, args: Mapping[str, Column]) -> dict[str, Column]:
         """The outputs of a callable as Columns of its arguments'."""
         self.check(name)
-        return self._columns(self.callables[name], args)
-
-    def _columns(self, target: Stage | Pipeline, args: Mapping[str, Column]) -> dict[str, Column]:
+        target = self.callables[name]
         if isinstance(target, Stage):
-            made = dict(target.body(**args))
-            return {o: made[o].cast(self.types.to_spark(t)) if o in made else F.lit(None).cast(self.types.to_spark(t)) for o, t in target.outputs.items()}
-        calls = {c.id: c for c in sort_calls(target.calls)}
-        outs: dict[str, Column] = {}
-
-        def value(v: object, want: TypeId | None = None) -> Column:
-            if isinstance(v, Ref):
-                given = self.type_of(v, target, calls)
-                base = args[v.name] if v.call is None else outs[v.call]
-                start = target.inputs[v.name] if v.call is None else self.type_of(Ref(v.call), target, calls)
-                path = v.path if v.call is None else ((v.name,) if v.name else ()) + v.path
-                col, kind = expr.project(base, self.types.to_spark(start), path)
-                return expr.narrow(col, kind, self.types.to_spark(want)) if want and want != given else col
-            kind = self.types.to_spark(want) if want else None
-            if isinstance(v, (list, tuple)):
-                col = F.array(*(value(x, want.element() if want else None) for x in v))
-            elif isinstance(v, dict) and want and want.name in self.types.structs and not want.map_dim:
-                col = F.struct(*(value(v.get(m), t).alias(m) for m, t in self.types.structs[want.name].items()))
-            elif isinstance(v, dict):
-                col = F.create_map(*(c for k, x in v.items() for c in (F.lit(k), value(x, want.element() if want else None))))
-            else:
-                col = F.lit(v)
-            return col.cast(kind) if kind else col
-
-        for c in calls.values():
-            callee = self.callables[c.target]
-            if not callee.outputs:
-                continue
-            record = lambda given, callee=callee: F.struct(*(x.alias(o) for o, x in self._columns(callee, given).items()))
-            fixed = {p: value(v, callee.inputs[p]) for p, v in c.bindings.items() if not isinstance(v, Split)}
-            split = {p: value(v.value) for p, v in c.bindings.items() if isinstance(v, Split)}
-            kind = self.types.to_spark(TypeId(c.target))
-            if c.disabled is True or any(isinstance(v, Split) and v.value is None for v in c.bindings.values()):
-                over = self.over(c, target, calls)
-                outs[c.id] = F.lit(None).cast(self.types.to_spark(TypeId(c.target).mapped(over)) if over else kind)
-                continue
-            if not split:
-                made = record(fixed)
-            elif self.over(c, target, calls) == "map":
-                (first, col), *others = split.items()
-                if others:
-                    raise CompileError(f"{c.id}: only one map can be mapped over at once here")
-                made = mapcall.over_map(col, lambda _, v: record({**fixed, first: v}))
-            elif len(split) == 1:
-                ((first, col),) = split.items()
-                made = mapcall.over_array(col, lambda x, _: record({**fixed, first: x}))
+            return self._stage(target, args)
+        made = self._pipeline(target, args, {})
+        return {o: made[o] for o in target.outputs}
+
+    def _stage(self, target: Stage, args: Mapping[str, Column]) -> dict[str, Column]:
+        body = target.body
+        if not isinstance(body, Body):
+            return self._typed(body(**args), target.outputs)
+        # a chunk's outputs are the stage's and its own; the reserved keys of a chunk are resources, no arguments
+        both = {**target.outputs, **target.chunk_outputs}
+
+        def main(c: Column) -> Column:
+            own = {k: c[k] for k in target.chunk_inputs if k not in RESERVED}
+            return F.struct(*(x.alias(o) for o, x in self._typed(body.main(**{**args, **own}), both).items()))
+
+        chunks = body.split(**args)
+        joined = lambda defs, outs: F.struct(*(x.alias(o) for o, x in self._typed(body.join(**args, chunk_defs=defs, chunk_outs=outs), target.outputs).items()))
+        made = let(chunks, lambda defs: let(F.transform(defs, main), lambda outs: joined(defs, outs)))
+        return {o: made[o] for o in target.outputs}
+
+    def _typed(self, made: Mapping[str, Column], outputs: Mapping[str, TypeId]) -> dict[str, Column]:
+        made = dict(made)
+        return {o: made[o].cast(self.types.to_spark(t)) if o in made else F.lit(None).cast(self.types.to_spark(t)) for o, t in outputs.items()}
+
+    def _record(self, target: Stage | Pipeline, args: Mapping[str, Column], fixed: Mapping[str, object]) -> Column:
+        """A struct of a callable's outputs; ``fixed`` are the inputs whose values are known now."""
+        if isinstance(target, Stage):
+            return F.struct(*(x.alias(o) for o, x in self._stage(target, args).items()))
+        return self._pipeline(target, args, fixed)
+
+    def _value(self, v: object, target: Pipeline, calls: dict[str, Call], args: Mapping[str, Column], outs: Mapping[str, object], want: TypeId | None = None) -> Column:
+        if isinstance(v, Ref):
+            given = self.type_of(v, target, calls)
+            base = args[v.name] if v.call is None else outs[v.call]
+            base = base.column() if isinstance(base, Mapped) else base
+            start = target.inputs[v.name] if v.call is None else self.type_of(Ref(v.call), target, calls)
+            path = v.path if v.call is None else ((v.name,) if v.name else ()) + v.path
+            col, kind = expr.project(base, self.types.to_spark(start), path)
+            return expr.narrow(col, kind, self.types.to_spark(want)) if want and want != given else col
+        own = lambda x, t: self._value(x, target, calls, args, outs, t)
+        kind = self.types.to_spark(want) if want else None
+        if isinstance(v, (list, tuple)):
+            col = F.array(*(own(x, want.element() if want else None) for x in v))
+        elif isinstance(v, dict) and want and want.name in self.types.structs and not want.map_dim:
+            col = F.struct(*(own(v.get(m), t).alias(m) for m, t in self.types.structs[want.name].items()))
+        elif isinstance(v, dict):
+            col = F.create_map(*(c for k, x in v.items() for c in (F.lit(k), own(x, want.element() if want else None))))
+        else:
+            col = F.lit(v)
+        return col.cast(kind) if kind else col
+
+    def _known(self, v: object, fixed: Mapping[str, object]) -> tuple[bool, object]:
+        """Whether a binding's value is known now, and which."""
+        if isinstance(v, Ref):
+            return (v.call is None and v.name in fixed and not v.path, fixed.get(v.name) if v.call is None else None)
+        return not refs(v), v
+
+    def _call(self, c: Call, target: Pipeline, calls: dict[str, Call], args: Mapping[str, Column], outs: Mapping[str, object], fixed: Mapping[str, object], uses: Mapping[str, int]) -> Column | Mapped:
+        callee = self.callables[c.target]
+        value = lambda v, want=None: self._value(v, target, calls, args, outs, want)
+        over = self.over(c, target, calls)
+        kind = self.types.to_spark(TypeId(c.target).mapped(over) if over else TypeId(c.target))
+        splits = {p: v.value for p, v in c.bindings.items() if isinstance(v, Split)}
+        empty = [known and v in (None, [], {}) for known, v in (self._known(v, fixed) for v in splits.values())]
+        off = self._known(c.disabled, fixed)
+        if off == (True, True) or any(empty):  # an empty collection known now disables the call
+            return F.lit(None).cast(kind)
+        plain = {p: value(v, callee.inputs[p]) for p, v in c.bindings.items() if p not in splits}
+        now = {p: v for p, (known, v) in ((p, self._known(v, fixed)) for p, v in c.bindings.items() if p not in splits) if known}
+        if not splits:
+            made = self._record(callee, plain, now)
+        elif len(splits) == 1:
+            ((p, v),) = splits.items()
+            earlier = outs.get(v.call) if isinstance(v, Ref) and v.call else None
+            if isinstance(earlier, Mapped) and uses[v.call] == 1:
+                # split of a merge: one pass over the earlier call's source, nothing gathered in between
+                record, path = self.types.to_spark(TypeId(calls[v.call].target)), ((v.name,) if v.name else ()) + v.path
+                element = self.type_of(v, target, calls).element()
+
+                def fused(x: Column) -> Column:
+                    col, given = expr.project(earlier.call(x), record, path)
+                    return self._record(callee, {**plain, p: expr.narrow(col, given, self.types.to_spark(callee.inputs[p])) if element != callee.inputs[p] else col}, now)
+
+                made = Mapped(earlier.source, earlier.over, fused)
             else:
-                made = F.transform(mapcall.zipped(**split), lambda z: record({**fixed, **{p: z[p] for p in split}}))
-            flag = c.disabled
-            outs[c.id] = made if flag is None or flag is False else expr.disabled(made, value(flag))
-        return {o: value(v, target.outputs[o]) for o, v in target.returns.items()}
+                given = (self.type_of(v, target, calls) or callee.inputs[p].mapped(over)).element()
+                want = callee.inputs[p]
+                fit = lambda x: expr.narrow(x, self.types.to_spark(given), self.types.to_spark(want)) if given != want else x
+                made = Mapped(value(v), over, lambda x: self._record(callee, {**plain, p: fit(x)}, now))
+        else:
+            zipped = mapcall.zipped_by_key if over == "map" else mapcall.zipped
+            made = Mapped(zipped(**{p: value(v) for p, v in splits.items()}), over, lambda z: self._record(callee, {**plain, **{p: z[p] for p in splits}}, now))
+        if c.disabled is None or off == (True, False):
+            return made
+        col, flag = made.column() if isinstance(made, Mapped) else made, value(c.disabled)
+        given = self.type_of(c.disabled, target, calls)
+        if given and given.array_dim:
+            return expr.disabled_each(col, flag)
+        if given and given.map_dim:
+            return F.transform_values(mapcall.zipped_by_key(v=col, d=flag), lambda _, z: expr.disabled(z["v"], z["d"]))
+        return expr.disabled(col, flag)
+
+    def _uses(self, target: Pipeline) -> dict[str, int]:
+        """How often each call's outputs are referred to."""
+        out = {c.id: 0 for c in target.calls}
+        for v in [x for c in target.calls for x in (*c.bindings.values(), c.disabled)] + list(target.returns.values()):
+            for r in refs(v):
+                if r.call:
+                    out[r.call] += 1
+        return out
+
+    def _pipeline(self, target: Pipeline, args: Mapping[str, Column], fixed: Mapping[str, object]) -> Column:
+        order = sort_calls(target.calls)
+        calls, uses = {c.id: c for c in order}, self._uses(target)
+        todo = [c for c in order if self.callables[c.target].outputs]
+
+        def go(i: int, outs: dict[str, object]) -> Column:
+            if i == len(todo):
+                made = F.struct(*(self._value(target.returns[o], target, calls, args, outs, t).alias(o) for o, t in target.outputs.items()))
+                for message, check in self._checks(target, calls, args):
+                    made = F.when(F.coalesce(check, F.lit(False)), made).otherwise(F.raise_error(F.lit(f"ASSERT: {message}")).cast(self.types.to_spark(TypeId(target.name))))
+                return made
+            c = todo[i]
+            made = self._call(c, target, calls, args, outs, fixed, uses)
+            if uses[c.id] < 2:
+                return go(i + 1, {**outs, c.id: made})
+            return let(made.column() if isinstance(made, Mapped) else made, lambda v: go(i + 1, {**outs, c.id: v}))
+
+        return go(0, {})
+
+    def _checks(self, target: Pipeline, calls: dict[str, Call], args: Mapping[str, Column]) -> list[tuple[str, Column]]:
+        """(message, check) of a pipeline's preflight calls; a preflight body gives checks by message."""
+        out = []
+        for c in target.calls:
+            if c.preflight and c.disabled is not True:
+                given = {p: self._value(v, target, calls, args, {}, self.callables[c.target].inputs[p]) for p, v in c.bindings.items()}
+                out += [(f"{c.id}: {message}", check) for message, check in self.callables[c.target].body(**given).items()]
+        return out
 
     def apply(self, name: str, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """df's columns as arguments, a run a row."""
-        outs = self.compile(name, {p: df[p].cast(self.types.to_spark(t)) for p, t in self.callables[name].inputs.items()})
-        return df.select(*keep, *(c.alias(o) for o, c in outs.items()))
+        """df's columns as arguments, a run a row. Preflight checks run first: where one fails, an Assertion with its message ends the run."""
+        self.check(name)
+        target = self.callables[name]
+        given = {p: df[p].cast(self.types.to_spark(t)) for p, t in target.inputs.items()}
+        if isinstance(target, Stage):
+            return df.select(*keep, *(c.alias(o) for o, c in self._stage(target, given).items()))
+        held = df.select(*(df[k].alias(f"keep#{k}") for k in keep), *(c.alias(f"in#{p}") for p, c in given.items()))
+        args = {p: F.col(f"`in#{p}`") for p in given}
+        order = sort_calls(target.calls)
+        calls, uses, outs = {c.id: c for c in order}, self._uses(target), {}
+        if checks := self._checks(target, calls, args):
+            failed = held.agg(*(F.count_if(~F.coalesce(check, F.lit(False))) for _, check in checks)).first()
+            if messages := [message for (message, _), n in zip(checks, failed, strict=True) if n]:
+                raise Assertion("; ".join(messages))
+        for c in order:
+            if self.callables[c.target].outputs:
+                made = self._call(c, target, calls, args, outs, {}, uses)
+                if isinstance(made, Mapped) and uses[c.id] < 2:
+                    outs[c.id] = made
+                    continue
+                held = held.withColumn(f"call#{c.id}", made.column() if isinstance(made, Mapped) else made)
+                outs[c.id] = F.col(f"`call#{c.id}`")
+        return held.select(*(F.col(f"`keep#{k}`").alias(k) for k in keep), *(self._value(target.returns[o], target, calls, args, outs, t).alias(o) for o, t in target.outputs.items()))
+
+    def run(self, spark: SparkSession, call: Call) -> DataFrame:
+        """A top call: one row of outputs; of a mapped call a row a fork, in order, with fork_ix (and fork_key of a map)."""
+        target = self.callables[call.target]
+        root = Pipeline("top", {}, {}, [call])
+        self.check(call.target)
+        if missing := target.inputs.keys() - call.bindings.keys():
+            raise CompileError(f"{call.id} lacks {', '.join(sorted(missing))}")
+        one = spark.range(1)
+        splits = {p: v.value for p, v in call.bindings.items() if isinstance(v, Split)}
+        kinds = {isinstance(v, dict) for v in splits.values()}
+        if len(kinds) > 1:
+            raise CompileError(f"{call.id} maps over an array and a map at once")
+        over = "map" if kinds == {True} else "array"
+        fixed = {p: self._value(v, root, {}, {}, {}, target.inputs[p]).alias(p) for p, v in call.bindings.items() if p not in splits}
+        if not splits:
+            return self.apply(call.target, one.select(*fixed.values()))
+        given = {p: self._value(v, root, {}, {}, {}, target.inputs[p].mapped(over)) for p, v in splits.items()}
+        zipped = (mapcall.zipped_by_key if over == "map" else mapcall.zipped)(**given)
+        forks = mapcall.fork(one.select(*fixed.values(), zipped.alias("source#")), "source#").where("fork_ix is not null")
+        keys = tuple(k for k in ("fork_ix", "fork_key") if k in forks.columns)
+        return self.apply(call.target, forks.select(*keys, *fixed, *(F.col("item")[p].alias(p) for p in splits)), keep=keys).orderBy("fork_ix")
 
     def edges(self, name: str) -> list[tuple[str, str]]:
         """(producer, consumer) of all calls below a pipeline, by dotted names."""
