@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe, decontam, jaccard, quality, secret_scan
-from weftline.llm.common import documents, emit, pick, scratch_path, text_rows
+from weftline.llm.common import documents, emit, mark, pick, release, scratch_path, since, text_rows
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's own scratch tables, and its input, go when its result is written."""
     docs = documents(spark, sf_dir)
+    before: list[str] = []
     for name, stage in STAGES:
-        path = scratch_path(spark, name)
+        at, path = mark(), scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, [*before, *(p for p in since(at) if p != path)])
+        before = [path]
     return docs
 
 
