@@ -243,6 +243,56 @@ def test_redaction():
     assert secret_scan.redacted(text, secret_scan.base_spans(text)) == "a [SECRET] b [SECRET] c"
 
 
+def brute_secrets(text, vocab):
+    """Base spans by the contract's patterns, and runs that a naive count of tokens finds random."""
+    assign = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    base = [("assign", m.start(), m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
+    base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    extra = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        run = m[0].strip("=-_/+")
+        a = text.index(run, m.start()) if run else 0
+        tokens = lambda s: len(vocab.encode_ordinary(s))
+        if len(run) < 20 or len(run) >= 2.0 * tokens(run) or any(a < y and x < a + len(run) for _, x, y in base):
+            continue
+        if re.fullmatch("[0-9a-fA-F]+", run) and len(run) in (32, 40, 48, 56, 64, 96, 128) or re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run):
+            continue
+        words = re.findall("[A-Za-z]+", run)
+        named = all(re.fullmatch("[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}", p) for p in re.split("[_/-]+", run.rstrip("_/=-")))
+        if named and sum(map(len, words)) >= 2.5 * sum(map(tokens, words)):
+            continue
+        extra.append(("random", a, a + len(run)))
+    return base, extra
+
+
+def test_op3_query(spark, rows):
+    vocab = secret_scan.vocabulary(secret_scan.default_vocabulary())
+    got = {r.doc_id: r for r in queries.op3_secret_scans(spark, DATA).collect()}
+    rank = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], rank[s[0]])))
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        base, extra = brute_secrets(text or "", vocab)
+        r = got[doc]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == sha(line(base)) and r.spans == line(base + extra)
+
+
+def test_random_strings_are_caught():
+    """Random strings in prose against the naive scan."""
+    vocab = secret_scan.vocabulary(secret_scan.default_vocabulary())
+    draw = np.random.Generator(np.random.PCG64(4))
+    letters = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    words = "the quick-brown_fox jumps over token= secret: d41d8cd98f00b204e9800998ecf8427e some/path/to/a_file_name12".split()
+    for _ in range(300):
+        parts = [str(draw.choice(words)) if draw.random() < 0.8 else "".join(draw.choice(letters, int(draw.integers(10, 40)))) for _ in range(12)]
+        text = " ".join(parts)
+        base = secret_scan.base_spans(text)
+        want = brute_secrets(text, vocab)
+        assert sorted(base) == sorted(want[0]) and secret_scan.random_spans(text, base, vocab, secret_scan.EFFICIENCY) == want[1]
+
+
 def test_secret_digests(spark):
     df = spark.createDataFrame([(1, "token=aaaaaaaaaaaaaaaaaaaaaaaa"), (2, None)], "doc_id long, text string")
     one, none = secret_scan.digests(secret_scan.scan(df)).orderBy("doc_id").collect()
@@ -476,6 +526,26 @@ def test_decontamination_of_items_that_share_an_id(spark):
     assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [5]
 
 
+def brute_leaks(docs, items):
+    """Similarity of each document's best item-sized window with each item of five words or more, 0.8 at least."""
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    held = Counter(g for w in {tuple(w): w for _, w in items}.values() for g in grams(w))
+    out = {}
+    for i, w in items:
+        b = grams(w)
+        mean = sum(c / held[g] for g, c in b.items()) / sum(b.values())
+        for d, text in docs:
+            if not any(g in b for g in grams(text)):
+                continue
+            for at in range(max(1, len(text) - len(w) + 1)):
+                a = grams(text[at : at + len(w)])
+                both = sum(min(c, a[g]) / held[g] for g, c in b.items())
+                either = sum(max(c, a[g]) / held[g] for g, c in b.items()) + sum(c * min(mean, 1 / held[g] if g in held else 1) for g, c in a.items() if g not in b)
+                if both >= 0.8 * either - 1e-12:
+                    out[d, i] = max(out.get((d, i), 0), both / either)
+    return out
+
+
 def test_decontamination_against_brute_force(spark):
     """Edited passages of random items in random documents: every item-sized window of every document."""
     draw = np.random.Generator(np.random.PCG64(21))
@@ -488,19 +558,7 @@ def test_decontamination_against_brute_force(spark):
         for _ in range(int(draw.integers(0, 3))):
             own[int(draw.choice([0, 1, -1, -2, int(draw.integers(0, len(own)))]))] = "edit"
         docs.append((d, word(int(draw.integers(0, 30))) + own + word(int(draw.integers(0, 30)))))
-    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    held = Counter(g for _, w in items for g in grams(w))
-    want = {}
-    for d, text in docs:
-        for i, w in items:
-            b = grams(w)
-            mean = sum(c / held[g] for g, c in b.items()) / sum(b.values())
-            for at in range(max(1, len(text) - len(w) + 1)):
-                a = grams(text[at : at + len(w)])
-                both = sum(min(c, a[g]) / held[g] for g, c in b.items())
-                either = sum(max(c, a[g]) / held[g] for g, c in b.items()) + sum(c * min(mean, 1 / held[g] if g in held else 1) for g, c in a.items() if g not in b)
-                if both >= 0.8 * either - 1e-12:
-                    want[d, i] = max(want.get((d, i), 0), both / either)
+    want = brute_leaks(docs, items)
     frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert got.keys() == want.keys() and len(want) > 60 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
@@ -595,6 +653,38 @@ def test_quality(spark):
     assert quality.keep(docs, model, cut).count() == got.where("selected").count()
 
 
+def test_quality_against_brute_force(spark):
+    """Weights from n-grams counted one by one; the threshold by trying all; the k largest keys by sorting."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    grams = {d: (w := re.findall(r"[^\x20\x09-\x0D]+", t)) + list(zip(w, w[1:], strict=False)) for d, t in texts.items()}
+    bucket: dict = {}
+    for d, own in grams.items():
+        for g, b in zip(own, quality.features(texts[d]).tolist(), strict=True):
+            assert bucket.setdefault(g, b) == b
+    good = {r.doc_id: r.quality == 1 and not r.toxic for r in labels.collect()}
+    fold = {r.doc_id: r.fold for r in quality.labelled(docs, labels, quality.LABELLED).collect()}
+    raw, target = Counter(), Counter()
+    for d, own in grams.items():
+        raw.update(bucket[g] for g in own)
+        if good.get(d) and fold.get(d):
+            target.update(bucket[g] for g in own)
+    share = sum(target.values()) / sum(raw.values())
+    weigh = lambda own: sum(np.log((target[bucket[g]] + 1) / (raw[bucket[g]] * share + 1)) for g in own) * (quality.NOMINAL / (len(own) + quality.DAMP)) ** quality.POWER
+    got, _, _ = quality.resample(docs, labels)
+    got = {r.doc_id: r for r in got.collect()}
+    assert got.keys() == texts.keys() and all(abs(got[d].log_weight - weigh(own)) < 1e-3 + 1e-4 * abs(got[d].log_weight) for d, own in grams.items())
+    tried = [(got[d].log_weight, good[d]) for d in fold if not fold[d]]
+    cost = lambda t: quality.LOSS * np.mean([w < t for w, g in tried if g]) + np.mean([w >= t for w, g in tried if not g])
+    assert cost(model.threshold) <= min(cost(w) for w, _ in tried) + 1e-9
+    k = sum(r.log_weight >= model.threshold for r in got.values())
+    best = sorted(got.values(), key=lambda r: r.key, reverse=True)[:k]
+    assert {r.doc_id for r in best} == {d for d, r in got.items() if r.selected}
+    assert all(abs(r.key - r.log_weight - quality.noise(r.doc_id, quality.SEED)) < 1e-9 for r in got.values())
+
+
 def test_kth_largest(spark):
     values = [0.5, -1.0, 2.5, 2.5, -300.0, 7e9, 1e-9, float("-inf"), -2e-5]
     df = spark.createDataFrame([(quality.sortable(v),) for v in values], "place long")
@@ -616,6 +706,66 @@ def test_pipeline(spark):
     assert got and all(r.whole and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_pipeline_against_brute_force(spark, library):
+    """Every stage on its own input, planted cases, odd rows and more columns included."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = [(r.item_id, decontam_words(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    long_ = max((w for _, w in bench), key=len)
+    clean = docs.where("length(text) between 900 and 2000").orderBy("doc_id").first()
+    more = [(900001, clean.text), (900002, clean.text + " end"), (900003, f"{clean.text[300:]} {' '.join(long_)} {clean.text[:300]}"), (900004, clean.text[::-1] + " password=hunter2222"), (900005, None), (900006, ""), (None, "no id")]
+    planted = spark.createDataFrame(more, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'x' source", "length(text) n_chars")
+    rows = docs.unionByName(planted.select(*[F.col(c).cast(t) for c, t in docs.dtypes]))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rs: Counter((r.doc_id, r.text) for r in rs)
+    path = lambda n: scratch_path(spark, n)
+
+    def go(name, df):
+        out = path(name)
+        stages[name](spark, df, DATA).write.parquet(out)
+        return spark.read.parquet(out)
+
+    kept = go("quality", rows)
+    chosen = quality.resample(rows, spark.read.parquet(f"{DATA}/labels.parquet"))[0].where("selected").select("doc_id").collect()
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in chosen) and kept.columns == docs.columns
+    # the planted rows go on in any case, so that the next stages have them
+    held = kept.where("doc_id < 900000").unionByName(rows.where("doc_id >= 900000"))
+    held_rows = held.collect()
+    sets = {r.doc_id: frozenset(jaccard.shingles(r.text or "").tolist()) for r in held_rows}
+    top: dict = {}
+
+    def find(d):
+        while top.get(d, d) != d:
+            d = top[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    one = go("near_duplicates", held)
+    assert key(one.collect()) == key(r for r in held_rows if find(r.doc_id) == r.doc_id) and one.where("doc_id = 900002").isEmpty()
+    one_rows = one.collect()
+    leaks = {d for d, _ in brute_leaks([(r.doc_id, decontam_words(r.text)) for r in one_rows], [(i, w) for i, w in bench if len(w) >= 5])}
+    no_leaks = go("decontamination", one)
+    assert key(no_leaks.collect()) == key(r for r in one_rows if r.doc_id not in leaks) and 900003 in leaks
+    vocab = secret_scan.vocabulary(secret_scan.default_vocabulary())
+    redacted = go("secrets", no_leaks)
+    want = Counter((r.doc_id, secret_scan.redacted(r.text, [s for part in brute_secrets(r.text, vocab) for s in part]) if r.text else r.text) for r in no_leaks.collect())
+    assert key(redacted.collect()) == want and all(r.n_chars == len(r.text) for r in redacted.collect() if r.text)
+    ids = {r.doc_id: r for r in go("encoding", redacted).collect()}
+    for r in redacted.collect():
+        assert list(ids[r.doc_id].ids) == library.encode(r.text or "", add_special_tokens=False).ids and ids[r.doc_id].whole
+    empty = docs.limit(0)
+    assert all(f(spark, empty, DATA).isEmpty() for f in stages.values())
+
+
+def decontam_words(text):
+    return [w for w in re.split(r"[\x20\t\n\x0b\x0c\r]+", (text or "").lower()) if w]
+
+
 def test_window_dedup_sql(spark):
     import duckdb
 

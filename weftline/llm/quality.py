@@ -103,11 +103,12 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text, good, fold) of at most about ``limit`` labelled documents."""
+    """(doc_id, text, good, fold) of at most ``limit`` labelled documents; of rows of one doc_id the one with the least text."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.every(good).alias("good")).withColumn("h", F.xxhash64("doc_id"))
     few = rows.orderBy("h", "doc_id").limit(limit).select("doc_id", "good", (F.col("h") % 2 == 0).alias("fold"))
-    return docs.join(F.broadcast(few), "doc_id")  # at most ``limit`` rows of 10 bytes
+    found = docs.join(F.broadcast(few), "doc_id")  # at most ``limit`` rows of 10 bytes
+    return found.groupBy("doc_id", "good", "fold").agg(F.min("text").alias("text")).select("doc_id", "text", "good", "fold")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, bits: int = BITS) -> Model:
