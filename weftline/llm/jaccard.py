@@ -45,7 +45,7 @@ from .common import emit, pick, shared_table, text_rows, without
 K, SIMILARITY = 5, 0.8
 MINHASHES = 96
 RECALL = 0.999
-LEAF, VERIFY, DEPTH = 4096, 1024, 3
+LEAF, VERIFY, DEPTH = 4096, 512, 3
 MARGIN = 0.15
 #: Rows of 16 bytes that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1 << 21
