@@ -162,11 +162,11 @@ def test_mapped_calls_fuse(spark):
 @pytest.mark.parametrize("inner", [False, True])
 def test_plans_stay_linear(spark, inner):
     sizes = []
-    for n in (10, 20):
+    for n in (15, 30):
         calls = "".join(f"call ADD as C{i}(a = {f'C{i - 1}.s' if i else 'self.x'}, b = {f'C{i - 1}.s' if i else 'self.x'})\n" for i in range(n))
         source = f'stage ADD(in float a, in float b, out float s, src py "add") pipeline P(in float x, out float s) {{ {calls} return (s = C{n - 1}.s) }} pipeline Q(in float x, out float s) {{ call P(x = self.x) return (s = P.s) }}'
         program, _ = load(source, {"ADD": lambda a, b: {"s": a + b}})
-        df = program.apply("Q" if inner else "P", spark.sql("select 1d x"))
+        df = program.apply("Q" if inner else "P", spark.createDataFrame([(1.0,)], "x double"))
         assert df.first().s == 2.0**n
         sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
     assert sizes[1] < 4 * sizes[0]

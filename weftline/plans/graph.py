@@ -5,8 +5,9 @@ join); a pipeline binds calls of stages and pipelines to its inputs and to each
 other's outputs. Compiling inlines pipelines, checks every binding against the
 declared types, folds constants that disable calls, and fuses a mapped call with
 the one whose results alone it maps over. A call stands in the plan once, however
-often its outputs are used: of a program's own calls each is a column, of calls
-further in a lambda's variable. There is no shuffle; Catalyst sees projections.
+often its outputs are used: as a column for each output (a column of structs the
+optimizer would write out again at each use), or inside mapped calls as a lambda's
+variable. There is no shuffle; Catalyst sees projections.
 
 Preflight calls have checks instead of outputs. A program's own are evaluated
 before its plan is built; those further in guard their pipeline's outputs.
@@ -383,6 +384,7 @@ class Program:
         return out
 
     def _pipeline(self, target: Pipeline, args: Mapping[str, Column], fixed: Mapping[str, object]) -> Column:
+        """A struct of the outputs; a call used more than once is a lambda's variable."""
         order = sort_calls(target.calls)
         calls, uses = {c.id: c for c in order}, self._uses(target)
         todo = [c for c in order if self.callables[c.target].outputs]
@@ -419,21 +421,47 @@ class Program:
             return df.select(*keep, *(c.alias(o) for o, c in self._stage(target, given).items()))
         held = df.select(*(df[k].alias(f"keep#{k}") for k in keep), *(c.alias(f"in#{p}") for p, c in given.items()))
         args = {p: F.col(f"`in#{p}`") for p in given}
-        order = sort_calls(target.calls)
-        calls, uses, outs = {c.id: c for c in order}, self._uses(target), {}
+        calls = {c.id: c for c in target.calls}
         if checks := self._checks(target, calls, args):
             failed = held.agg(*(F.count_if(~F.coalesce(check, F.lit(False))) for _, check in checks)).first()
             if messages := [message for (message, _), n in zip(checks, failed, strict=True) if n]:
                 raise Assertion("; ".join(messages))
+        held, made = self._lay(held, target, args, {}, "")
+        return held.select(*(F.col(f"`keep#{k}`").alias(k) for k in keep), *(made[o].alias(o) for o in target.outputs))
+
+    def _lay(self, held: DataFrame, target: Pipeline, args: Mapping[str, Column], fixed: Mapping[str, object], prefix: str) -> tuple[DataFrame, dict[str, Column]]:
+        """A pipeline outside all mapped calls: its calls as columns, one for each output, of the rows in ``held``; and its outputs."""
+        order = sort_calls(target.calls)
+        calls, uses, outs = {c.id: c for c in order}, self._uses(target), {}
         for c in order:
-            if self.callables[c.target].outputs:
-                made = self._call(c, target, calls, args, outs, {}, uses)
-                if isinstance(made, Mapped) and uses[c.id] < 2:
-                    outs[c.id] = made
-                    continue
-                held = held.withColumn(f"call#{c.id}", made.column() if isinstance(made, Mapped) else made)
-                outs[c.id] = F.col(f"`call#{c.id}`")
-        return held.select(*(F.col(f"`keep#{k}`").alias(k) for k in keep), *(self._value(target.returns[o], target, calls, args, outs, t).alias(o) for o, t in target.outputs.items()))
+            callee, name = self.callables[c.target], f"{prefix}{c.id}"
+            if not callee.outputs:
+                continue
+            if any(isinstance(v, Split) for v in c.bindings.values()) or c.disabled not in (None, False):
+                made = self._call(c, target, calls, args, outs, fixed, uses)
+                if isinstance(made, Mapped):
+                    if uses[c.id] < 2:
+                        outs[c.id] = made
+                        continue
+                    made = made.column()
+                held = held.withColumn(name, made)
+                outs[c.id] = F.col(f"`{name}`")
+                continue
+            given = {p: self._value(v, target, calls, args, outs, callee.inputs[p]) for p, v in c.bindings.items()}
+            if isinstance(callee, Pipeline):
+                now = {p: v for p, (known, v) in ((p, self._known(v, fixed)) for p, v in c.bindings.items()) if known}
+                held = held.withColumns({f"{name}<{p}": x for p, x in given.items()}) if given else held
+                held, record = self._lay(held, callee, {p: F.col(f"`{name}<{p}`") for p in given}, now, f"{name}.")
+            else:
+                record = self._stage(callee, given)
+            if uses[c.id] > 1:
+                held = held.withColumns({f"{name}>{o}": x for o, x in record.items()})
+                record = {o: F.col(f"`{name}>{o}`") for o in record}
+            outs[c.id] = F.struct(*(x.alias(o) for o, x in record.items()))
+        returns = {o: self._value(target.returns[o], target, calls, args, outs, t) for o, t in target.outputs.items()}
+        for message, check in self._checks(target, calls, args) if prefix else []:
+            returns = {o: F.when(F.coalesce(check, F.lit(False)), x).otherwise(F.raise_error(F.lit(f"ASSERT: {message}")).cast(self.types.to_spark(target.outputs[o]))) for o, x in returns.items()}
+        return held, returns
 
     def run(self, spark: SparkSession, call: Call) -> DataFrame:
         """A top call: one row of outputs; of a mapped call a row a fork, in order, with fork_ix (and fork_key of a map)."""
@@ -448,12 +476,14 @@ class Program:
         if len(kinds) > 1:
             raise CompileError(f"{call.id} maps over an array and a map at once")
         over = "map" if kinds == {True} else "array"
-        fixed = {p: self._value(v, root, {}, {}, {}, target.inputs[p]).alias(p) for p, v in call.bindings.items() if p not in splits}
+        # values that hang on the row: the optimizer writes out literals again at each use before it folds them
+        held = lambda x: F.when(F.col("id") >= 0, x)
+        fixed = {p: held(self._value(v, root, {}, {}, {}, target.inputs[p])).alias(p) for p, v in call.bindings.items() if p not in splits}
         if not splits:
             return self.apply(call.target, one.select(*fixed.values()))
         given = {p: self._value(v, root, {}, {}, {}, target.inputs[p].mapped(over)) for p, v in splits.items()}
         zipped = (mapcall.zipped_by_key if over == "map" else mapcall.zipped)(**given)
-        forks = mapcall.fork(one.select(*fixed.values(), zipped.alias("source#")), "source#").where("fork_ix is not null")
+        forks = mapcall.fork(one.select(*fixed.values(), held(zipped).alias("source#")), "source#").where("fork_ix is not null")
         keys = tuple(k for k in ("fork_ix", "fork_key") if k in forks.columns)
         return self.apply(call.target, forks.select(*keys, *fixed, *(F.col("item")[p].alias(p) for p in splits)), keep=keys).orderBy("fork_ix")
 
