@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and the libraries they must agree with."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -209,6 +210,26 @@ def test_token_file_shards(spark):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
 
 
+def test_token_file_shards_split_one_id(spark):
+    df = spark.createDataFrame([(None if i % 3 else i, f"text {i}") for i in range(300)] + [(None, None), (None, "")], "doc_id long, text string")
+    out = scratch_path(spark, "hot")
+    manifest = token_files.write(df, out, shards=6)
+    assert max(s["documents"] for s in manifest["shards"]) < 120 and sum(s["documents"] for s in manifest["shards"]) == 302
+    got = token_files.read(spark, out).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert [r.doc_id for r in got] == [None] * 202 + list(range(0, 300, 3))
+
+
+def test_token_file_of_a_failed_task_is_removed(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    out = scratch_path(spark, "failed")
+    folder = out.removeprefix("file://")
+    os.makedirs(f"{folder}/shard-00000.bin/in_the_way")
+    with pytest.raises(Exception, match="shard-00000.bin"):
+        token_files.write(df, out, shards=1)
+    assert [n for n in os.listdir(folder) if n.startswith(".")] == []
+
+
 # Secrets
 
 

@@ -5,14 +5,16 @@ after the other as little-endian unsigned integers (16 bits where the vocabulary
 allows, else 32), ``shard-00000.idx`` a header of three 64-bit integers
 (format, bytes an id, documents) and then, as 64-bit integers, the document ids
 and the documents' offsets in ids (one more than documents). Shards follow
-doc_id: partitions are ranges of it. ``manifest.json`` names the shards with
-their bases, the prefix sums of the shards' token counts, so that base + offset
+doc_id: partitions are ranges of it, and of the texts' hashes within one doc_id, so
+that no doc_id (null among them) is bound to one shard; rows alike in both are.
+``manifest.json`` names the shards with their bases, the prefix sums of the shards' token counts, so that base + offset
 is a document's place among all ids. The bases are sums over one row a shard.
 
 A task writes under a name of its own and renames at the end; a repeated task
-writes the same bytes, so lost executors leave nothing wrong behind. Null doc_ids
-come first, equal doc_ids in the order of their texts; a null text has the end
-id alone. An empty table gives a manifest without shards.
+writes the same bytes, so lost executors leave nothing wrong behind, and one that
+fails removes its own. Null doc_ids come first, equal doc_ids in the order of
+their texts' 64-bit hashes, then of the texts; a null text has the end id alone.
+An empty table gives a manifest without shards.
 """
 
 from __future__ import annotations
@@ -63,23 +65,29 @@ def write(df: DataFrame, out: str, path: str | None = None, end_id: int = 0, id_
         own = f"{folder}/.{uuid.uuid4().hex}"
         end = np.array([end_id], dtype=kind).tobytes()
         ids, ends, at = [], [0], 0
-        with store.open_output_stream(f"{own}.bin") as f:
-            for doc, _, got in bpe.encoded(path, text_rows(batches)):
-                f.write(np.frombuffer(got, "<u4").astype(kind).tobytes() + end)
-                at += len(got) // 4 + 1
-                ids.append(NO_ID if doc is None else doc)
-                ends.append(at)
-        if not ids:
-            store.delete_file(f"{own}.bin")
-            return
-        with store.open_output_stream(f"{own}.idx") as f:
-            f.write(np.array([FORMAT, size, len(ids), *ids, *ends], dtype="<i8").tobytes())
-        for ext in ("bin", "idx"):
-            store.move(f"{own}.{ext}", f"{folder}/shard-{shard:05d}.{ext}")
+        try:
+            with store.open_output_stream(f"{own}.bin") as f:
+                for doc, _, got in bpe.encoded(path, text_rows(batches)):
+                    f.write(np.frombuffer(got, "<u4").astype(kind).tobytes() + end)
+                    at += len(got) // 4 + 1
+                    ids.append(NO_ID if doc is None else doc)
+                    ends.append(at)
+            if not ids:
+                return
+            with store.open_output_stream(f"{own}.idx") as f:
+                f.write(np.array([FORMAT, size, len(ids), *ids, *ends], dtype="<i8").tobytes())
+            for ext in ("bin", "idx"):
+                store.move(f"{own}.{ext}", f"{folder}/shard-{shard:05d}.{ext}")
+        finally:
+            for left in store.get_file_info([f"{own}.bin", f"{own}.idx"]):
+                if left.type == pafs.FileType.File:
+                    store.delete_file(left.path)
         yield from emit(schema, iter([(shard, len(ids), at, size)]))
 
-    ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(ranged.mapInArrow(run, fields).collect())  # one row a shard
+    # Keys of the content alone: a number for each row could differ when a lost task is repeated, and lose rows.
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    rows = sorted(ranged.select(*docs.columns).mapInArrow(run, fields).collect())  # one row a shard
     manifest: dict = {"format": FORMAT, "end_id": end_id, "shards": []}
     base = 0
     for r in rows:
