@@ -787,11 +787,12 @@ def decontam_words(text):
     return [w for w in re.split(r"[\x20\t\n\x0b\x0c\r]+", (text or "").lower()) if w]
 
 
-def test_window_dedup_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    want = Counter(con.execute(queries.OP9_SQL).fetchall())
-    got = queries.op9_substring_dedup(spark, DATA).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert Counter(tuple(r) for r in got) == want
+    df = queries.queries()[name](spark, DATA)
+    want = Counter(con.execute(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall())
+    assert Counter(tuple(r) for r in df.collect()) == want

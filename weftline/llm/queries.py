@@ -79,7 +79,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_secret_scans, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_token_files, op8_quality_classifier, op9_substring_dedup, op10_personal_data)}
 
 
-#: Word windows in SQL; the other operators have no SQL, and are tested against brute force instead.
+#: Strings of 50 bytes and word windows, and exact similarity joins, in SQL; the other operators have none, and are tested against brute force instead.
+OP2_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as t, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select doc_id, p, substr(h, 2 * p + 1, 1098) as part from docs, unnest(range(0, len(h) // 2, 500)) as u(p)),
+starts as (select doc_id, p + j as i, substr(part, 2 * j + 1, 100) as s from parts, unnest(range(0, least(500, greatest(len(part) // 2 - 49, 0)))) as u(j)),
+gone as (select doc_id, i from starts join (select s, min(doc_id) as first from starts group by s having min(doc_id) < max(doc_id)) using (s) where first < doc_id),
+cuts as (select *, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as new from gone),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from (select *, count(*) filter (where new) over (partition by doc_id order by i) as run from cuts) group by doc_id, run),
+pieces as (select doc_id, a as place, substr(h, 2 * coalesce(lag(b) over w, 0) + 1, 2 * (a - coalesce(lag(b) over w, 0))) as piece from runs join docs using (doc_id) window w as (partition by doc_id order by a)
+union all select doc_id, len(h), substr(h, 2 * coalesce(last, 0) + 1) from docs left join (select doc_id, max(b) as last from runs group by doc_id) using (doc_id)),
+kept as (select doc_id, string_agg(piece, '' order by place) as k from pieces group by doc_id),
+sums as (select doc_id, sum(b - a) as n, count(*) as c from runs group by doc_id)
+select doc_id, len(h) // 2 as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(c, 0) as n_spans, sha256(unhex(k)) as kept_sha256 from docs join kept using (doc_id) left join sums using (doc_id)
+"""
+
+OP5_SQL = r"""
+with recursive docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from docs, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as u(i)),
+sets as (select doc_id, sha256(string_agg(s, chr(10) order by s)) as sid, count(*) as n from shingles group by doc_id),
+reps as (select sid, min(doc_id) as doc_id, any_value(n) as n, count(*) as copies from sets group by sid),
+grams as (select sid, n, s from reps join shingles using (doc_id)),
+links as (select a.sid as a, b.sid as b from grams a join grams b on a.s = b.s and a.sid <> b.sid and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by a.sid, b.sid, a.n, b.n having 9 * count(*) >= 4 * (a.n + b.n)),
+reached(a, b) as (select sid, sid from reps union select r.a, l.b from reached r join links l on r.b = l.a),
+classes as (select a as sid, min(doc_id) as class_id from reached join reps on b = sid group by a),
+counts as (select a as sid, sum(copies) as others from links join reps on b = sid group by a)
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id, (coalesce(others, 0) + coalesce(copies - 1, 0))::bigint as n_links
+from docs d left join sets using (doc_id) left join (select sid, copies from reps) using (sid) left join classes using (sid) left join counts using (sid)
+"""
+
 OP9_SQL = r"""
 with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 words as (select doc_id, w[i] as word, i, case when i + 12 <= len(w) then array_to_string(w[i:i + 12], ' ') end as win from docs, unnest(range(1, len(w) + 1)) as t(i)),
@@ -91,4 +119,4 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op9_substring_dedup": OP9_SQL}
