@@ -1,7 +1,9 @@
 """Types, programs, mapped calls, validation, runs and streams on small fixtures."""
 
+import dataclasses
 import json
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import Row
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import scalar as fn
 from weftline.operators import expr, lineage, mapcall, relations, scatter, stats, telemetry, validate
+from weftline.plans import catalog, language
 from weftline.plans.graph import Call, CompileError, Pipeline, Program, Ref, Split, Stage, sort_calls
 from weftline.plans.run import Runner
 from weftline.sources import invocation, outputs
@@ -271,3 +274,50 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     assert sorted((r.n, r.total) for r in spark.table("w").collect()) == [(1, 1), (3, 2)]
     assert [(r.total, r.high_water) for r in spark.table("h").collect()] == [(3, 5)]
+
+
+def test_documents_and_calls(spark, tmp_path):
+    program, _ = language.load(catalog.PROGRAM, catalog.BODIES)
+    call = invocation.call_of(program, "SUM_SQUARES", '{"xs": [1, 2]}')
+    assert call.bindings == {"xs": [1, 2], "off": None} and json.loads(invocation.document_of(call)) == {"xs": [1, 2], "off": None}
+    with pytest.raises(CompileError, match="no parameters"):
+        invocation.call_of(program, "SUM_SQUARES", '{"ys": 1}')
+    with pytest.raises(CompileError, match="refers"):
+        invocation.document_of(Call("TOTAL", {"xs": Ref("SQUARE", "y")}))
+    (tmp_path / "a.json").write_text('{"x":\n 1}')
+    assert [r.text for r in invocation.read_raw(spark, str(tmp_path)).collect()] == ['{"x":\n 1}']
+
+
+@dataclasses.dataclass
+class Spot:
+    x: float
+    tags: list[str]
+
+
+@dataclasses.dataclass
+class Shape:
+    name: str | None
+    spots: dict[str, Spot]
+
+
+def test_rows_of_dataclasses(spark):
+    rows = [Shape("a", {"p": Spot(1.0, ["t", "u"])}), Shape(None, {})]
+    got = invocation.from_dataclasses(spark, Shape, rows, Types.of())
+    assert got.schema.simpleString() == "struct<name:string,spots:map<string,struct<x:double,tags:array<string>>>>"
+    first, second = got.collect()
+    assert first.spots["p"].tags == ["t", "u"] and second.name is None and second.spots == {}
+    with pytest.raises(TypeError):
+        invocation.hinted(bytes, Types.of())
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("args", "{}")
+    df = spark.read.format("binaryFile").load(str(tmp_path / "m.zip")).select("path", "content")
+    assert [r.text for r in invocation.from_zip(df, "args").collect()] == ["{}"]
+    assert [r.text for r in invocation.from_zip(df, "outs").collect()] == [None]
+
+
+def test_json_paths_through_arrays(spark):
+    docs = spark.createDataFrame([('{"a":[{"b":1},[{"b":"x"},{}]]}',), ('{"a":3}',), ("null",), (None,)], "d string")
+    assert [r[0] for r in docs.select(expr.json_path_mapped(F.col("d"), "a.b")).collect()] == ['[1,["x",null]]', "3", "null", None]

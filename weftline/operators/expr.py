@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,3 +105,22 @@ def disabled_each(values: Column, flags: Column) -> Column:
 def json_path(text: Column, path: str) -> Column:
     """An untyped path into a JSON document as text; scalars are their text, a missing field is NULL."""
     return F.get_json_object(text, "$." + path)
+
+
+def json_path_mapped(text: Column, path: str) -> Column:
+    """``json_path`` with arrays on the way mapped over, at any depth: the result is JSON text, in which a missing field is null. A scalar on the way stands for itself. Built-in functions can't map over arrays of unknown depth, so this one runs in Arrow batches."""
+    parts = path.split(".")
+
+    def step(value: object, at: int) -> object:
+        if isinstance(value, list):
+            return [step(v, at) for v in value]
+        return step(value.get(parts[at]), at + 1) if isinstance(value, dict) and at < len(parts) else value
+
+    def one(doc: str | None) -> str | None:
+        return None if doc is None else json.dumps(step(json.loads(doc), 0), separators=(",", ":"), ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(one)
+
+    return run(text)

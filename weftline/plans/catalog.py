@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import expr, lineage, mapcall, relations, resources, scatter, stats, telemetry, validate
+from ..sources import invocation, outputs
 from ..types import TypeId, Types
 from . import graph, language
 
@@ -761,3 +762,117 @@ def program_top_call(t):
     program, top = language.load(PROGRAM + 'map call SUM_SQUARES(xs = split {"b": [1], "a": [3, 4], "c": []}, off = split {"a": false, "b": true, "c": false})', BODIES)
     got = program.run(t("region").sparkSession, top)
     return got.select(F.col("fork_ix").cast("long").alias("fork_ix"), "fork_key", "sum")
+
+
+# Documents, names and literals
+
+
+@query(f"""with l as (select *, {LINE} as n from lineitem)
+select l_orderkey, to_json(list(l_returnflag order by n))::varchar as flags, to_json(list(l_linestatus order by n))::varchar as states from l group by l_orderkey""")
+def json_path_arrays(t):
+    """Paths through arrays of objects, and of arrays of them."""
+    doc = F.to_json(F.struct(F.transform("lines", lambda x: F.struct(x["l_returnflag"].alias("flag"), F.struct(x["l_linestatus"].alias("state")).alias("at"))).alias("lines")))
+    held = lines_by_order(t, "l_returnflag", "l_linestatus").select("l_orderkey", doc.alias("doc"))
+    return held.select("l_orderkey", expr.json_path_mapped(F.col("doc"), "lines.flag").alias("flags"), expr.json_path_mapped(F.col("doc"), "lines.at.state").alias("states"))
+
+
+@query("""select to_json({'o_orderkey': o_orderkey, 'status': o_orderstatus, 'note': case when o_orderstatus = 'F' then null else o_orderpriority end})::varchar as invocation from orders""")
+def invocation_documents(t):
+    note = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    return invocation.to_invocation(t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), note.alias("note")))
+
+
+@query("""select event_id, json_extract_string(props, '$.k')::bigint as k, null::varchar as note from events""")
+def typed_arguments(t):
+    """JSON arguments as typed columns; a missing one is NULL."""
+    params = {"k": TypeId("int"), "note": TypeId("string")}
+    return t("events").select("event_id", invocation.parse_args(F.col("props"), params, Types.of()).alias("a")).select("event_id", "a.k", "a.note")
+
+
+@query("""select page_id, replace(replace(replace(replace(replace(replace(url_encode(url || ' ~*+$&=@é'), '%24', '$'), '%26', '&'), '%2B', '+'), '%3D', '='), '%3A', ':'), '%40', '@') as escaped from pages""")
+def path_escapes(t):
+    return t("pages").select("page_id", fn.path_escape(F.concat("url", F.lit(" ~*+$&=@é"))).alias("escaped"))
+
+
+@query("""select o_orderkey, s.pos::bigint as ix, case s.pos when 0 then o_orderpriority || '"é' || chr(10) || chr(92) || 'n' when 1 then o_orderstatus else '' end as value from orders cross join (values (0), (1), (2)) s(pos)""")
+def strings_inside_documents(t):
+    """All strings of nested documents, their escapes resolved; keys and numbers are none."""
+    odd = F.concat("o_orderpriority", F.lit('"é\n\\n'))
+    doc = F.to_json(F.struct("o_orderkey", F.struct(odd.alias("name")).alias("inner"), F.array(F.col("o_orderstatus"), F.lit("")).alias("each")))
+    return t("orders").select("o_orderkey", F.posexplode(fn.strings_inside(doc)).alias("ix", "value")).withColumn("ix", F.col("ix").cast("long"))
+
+
+@query(r"""with n as (select page_id, k.kind, case k.kind when 'leaf' then regexp_extract(url, '[^/]*$') when 'device' then 'com' || len(url) % 12 || '.txt' when 'dot' then 'page.' else regexp_extract(url, '//([^/]*)', 1) end as name
+from pages cross join (values ('leaf'), ('device'), ('dot'), ('host')) k(kind))
+select page_id, kind, octet_length(encode(name)) <= 255 and name not in ('', '.', '..') and not regexp_matches(name, '[<>:"/\\|?*\x00-\x1f]') and not regexp_matches(name, '[ .]$') and not regexp_matches(upper(name), '^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])([.]|$)') as legal from n""")
+def output_names_legal(t):
+    """Names that Unix and Windows both take."""
+    leaf, device = F.regexp_extract("url", "[^/]*$", 0), F.concat(F.lit("com"), (F.length("url") % 12).cast("string"), F.lit(".txt"))
+    names = [("leaf", leaf), ("device", device), ("dot", F.lit("page.")), ("host", F.regexp_extract("url", "//([^/]*)", 1))]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), n.alias("name")) for k, n in names))).alias("x")
+    return t("pages").select("page_id", each).select("page_id", "x.kind", fn.legal_output_name(F.col("x.name")).alias("legal"))
+
+
+@query(f"""{PATHS}, d as (select f, regexp_replace(f, '/[^/]*$', '') as folder from f)
+select f, unnest([f, '/link' || substr(f, length(folder) + 1)]) as alias from d""")
+def path_aliases(t):
+    """A file under the alias of its folder; that of a folder it isn't in doesn't count."""
+    files = paths(t)[0].withColumn("folder", F.regexp_replace("f", "/[^/]*$", ""))
+    links = F.array(F.struct(F.col("folder").alias("folder"), F.lit("/link").alias("alias")), F.struct(F.concat("folder", F.lit("x")).alias("folder"), F.lit("/no").alias("alias")))
+    return files.select("f", F.explode(fn.aliases(F.col("f"), links)).alias("alias"))
+
+
+@query("select n_nationkey, 0::bigint as n_rows, 0::bigint as n_keys, '/outs/table.csv' as \"table\", null::varchar as note from nation")
+def default_outputs(t):
+    """Collections empty, files at their default path, all else NULL."""
+    made = outputs.default_outs({n: TypeId.parse(k) for n, k in {"rows": "int[]", "keys": "map<float>", "table": "csv", "note": "string"}.items()}, Types.of(filetypes=("csv",)), "/outs")
+    return t("nation").select("n_nationkey", F.size(made["rows"]).cast("long").alias("n_rows"), F.size(made["keys"]).cast("long").alias("n_keys"), made["table"].alias("table"), made["note"].alias("note"))
+
+
+@query("""select o_orderkey, p.level, case when o_orderstatus = 'F' and p.level <> 'disable' then 1 else 0 end::bigint as errors from orders cross join (values ('disable'), ('log'), ('alarm')) p(level)""")
+def severity_policy(t):
+    found = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("finished"))).otherwise(F.array().cast("array<string>"))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.size(validate.enforce(found, k)).cast("long").alias("errors")) for k in ("disable", "log", "alarm"))))
+    return t("orders").select("o_orderkey", levels.alias("x")).select("o_orderkey", "x.level", "x.errors")
+
+
+LITERALS = r"""
+struct POINT(float x, string note)
+stage SHIFT(in POINT at, in float[] by, in map<float> named, in float price, in string status, out POINT to, src py "shift")
+pipeline SHIFTED(in float price, in string status, out POINT whole, out float x, out string note)
+{
+    call SHIFT(at = {x: 1.5, note: "a\"\té\x41"}, by = [2, 0.25], named = {"k": 4}, * = self)
+    return (whole = SHIFT.to, x = SHIFT.to.x, note = SHIFT.to.note)
+}
+"""
+
+
+@query("""select o_orderkey, o_totalprice + 7.75 as x, 'a"' || chr(9) || 'éA' || o_orderstatus as note, o_totalprice + 7.75 as whole_x from orders""")
+def program_literals(t):
+    """Literals of every kind with escapes, parameters bound by name from the pipeline's own, and a whole record."""
+
+    def shift(at, by, named, price, status):
+        return {"to": F.struct((at["x"] + by[0] + by[1] + named["k"] + price).alias("x"), F.concat(at["note"], status).alias("note"))}
+
+    program, _ = language.load(LITERALS, {"SHIFT": shift})
+    held = t("orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return program.apply("SHIFTED", held, keep=("o_orderkey",)).select("o_orderkey", "x", "note", F.col("whole.x").alias("whole_x"))
+
+
+@query("""select * from (values ('BY_KIND.SUM_SQUARES', 0::bigint, 'pipeline', true, null), ('BY_KIND.SUM_SQUARES.SQUARE', 1, 'stage', true, null), ('BY_KIND.SUM_SQUARES.TOTAL', 2, 'stage', false, 'BY_KIND.SUM_SQUARES.SQUARE')) v(node, place, kind, mapped, upstream)""")
+def program_graph(t):
+    """The graph of a program: calls in the order they run, and what each one waits for."""
+    spark = t("region").sparkSession
+    found = language.load(PROGRAM, BODIES)[0].document("BY_KIND")
+    nodes = spark.createDataFrame([(n["name"], i, n["kind"], n["mapped"]) for i, n in enumerate(found["nodes"])], "node string, place long, kind string, mapped boolean")
+    waits = spark.createDataFrame([(e["to"], e["from"]) for e in found["edges"]], "node string, upstream string")
+    return nodes.join(waits, "node", "left")
+
+
+@query("select * from (values (0::bigint, 25.0::double), (1::bigint, null), (2::bigint, 0.0::double)) v(fork_ix, sum)")
+def invocation_round_trip(t):
+    """A mapped call as an invocation document, read back as a typed call and run."""
+    program, _ = language.load(PROGRAM, BODIES)
+    given = invocation.call_of(program, "SUM_SQUARES", '{"xs": {"split": [[3, 4], [1], []]}, "off": {"split": [false, true, false]}}')
+    again = invocation.call_of(program, "SUM_SQUARES", invocation.document_of(given))
+    return program.run(t("region").sparkSession, again).select(F.col("fork_ix").cast("long").alias("fork_ix"), "sum")

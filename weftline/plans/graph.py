@@ -503,3 +503,18 @@ class Program:
     def dot(self, name: str) -> str:
         lines = [f'  "{a}" -> "{b}";' for a, b in self.edges(name)]
         return "\n".join([f'digraph "{name}" {{', *lines, "}"])
+
+    def document(self, name: str) -> dict[str, object]:
+        """The graph as data: its calls with what they call, in the order they run, and its edges."""
+        nodes: list[dict[str, object]] = []
+
+        def walk(pipe: Pipeline, prefix: str) -> None:
+            for c in sort_calls(pipe.calls):
+                target = self.callables[c.target]
+                mapped = any(isinstance(v, Split) for v in c.bindings.values())
+                nodes.append({"name": f"{prefix}.{c.id}", "target": c.target, "kind": type(target).__name__.lower(), "mapped": mapped})
+                if isinstance(target, Pipeline):
+                    walk(target, f"{prefix}.{c.id}")
+
+        walk(self.callables[name], name)
+        return {"name": name, "nodes": nodes, "edges": [{"from": a, "to": b} for a, b in self.edges(name)]}
