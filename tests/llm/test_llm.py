@@ -376,6 +376,45 @@ def test_suffix_dedup(spark, rows, size):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(base + more, 50)
 
 
+@pytest.mark.parametrize("few", [1, 3])
+def test_suffix_dedup_of_grown_blocks_and_buckets(spark, rows, few, monkeypatch, tmp_path):
+    base = rows[:60]
+    more = [(9000 + i, "ab" * 60 + "é" * i + base[1][1][:80]) for i in range(4)] + [(9001, "ab" * 70), (None, base[0][1]), (7777, None), (7778, "")]
+    spark.createDataFrame(base + more, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
+    got = suffix_dedup.remove(spark.read.parquet(f"{tmp_path}/t"), block_bytes=1 << 11, bucket_bytes=1 << 12).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(base + more, 50)
+
+
+def test_suffix_dedup_asks_fewer_questions_of_larger_inputs(spark, rows, monkeypatch, tmp_path):
+    spark.createDataFrame(rows[:300], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df, n = spark.read.parquet(f"{tmp_path}/t"), []
+    ask = blocks.ask
+
+    def counted(source, questions, answers, partitions):
+        n.append(sum(1 for row in source.collect() for _ in questions(row)))
+        return ask(source, questions, answers, partitions)
+
+    monkeypatch.setattr(blocks, "ask", counted)
+    monkeypatch.setattr(suffix_dedup, "FEW", 8, raising=False)
+    suffix_dedup.remove(df, block_bytes=1 << 11, bucket_bytes=1 << 12)
+    text = sum(len((t or "").encode()) for _, t in rows[:300])
+    matrix = (text >> 11) * (text >> 12)
+    assert len(n) == 2 and max(n) < matrix // 16
+
+
+@pytest.mark.parametrize("buckets", [50, 400])
+def test_piece_questions_take_bounds_once(buckets, monkeypatch):
+    made, bounds = [], suffix_dedup._bounds
+    monkeypatch.setattr(suffix_dedup, "_bounds", lambda n: made.append(n) or bounds(n))
+    hashes = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 3000, np.uint64, endpoint=False))
+    pieces = [b"%050d" % i for i in range(len(hashes))]
+    blobs = dict(suffix_dedup._ask_pieces(pieces, hashes, np.arange(len(hashes)), buckets))
+    assert sum(made) <= 2 * buckets * suffix_dedup.PARTS  # a bucket's own bounds, not all of them again
+    asked = [suffix_dedup._Asked(blobs[b], suffix_dedup.PARTS) for b in sorted(blobs)]
+    assert [p for a in asked for k in range(suffix_dedup.PARTS) for p in a.part(k)[0]] == pieces
+
+
 @pytest.mark.parametrize("text", ["banana", "aaaaaaa", "abcabcabc", "mississippi", "x", "", "ba" * 40 + "c"])
 def test_suffix_array(text):
     t = np.frombuffer(text.encode(), np.uint8).astype(np.int64)

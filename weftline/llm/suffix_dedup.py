@@ -32,17 +32,22 @@ from pyspark.sql import DataFrame
 
 from . import blocks, rolling, sketch
 from .blocks import NO_ID
-from .common import emit
+from .common import emit, input_bytes
 from .window_dedup import pack_docs, unpack_docs
 
 LENGTH = 50
 #: Bytes of the grams whose smallest hash names a string.
 GRAM = 20
 BUCKET_BYTES = 8 << 20
-#: Text bytes in a block; a worker needs about 100 times as much memory.
+#: Text bytes of a block that are hashed at once, which needs about 100 times as much memory.
 BLOCK_BYTES = 1 << 20
-#: Parts of a bucket whose suffixes are sorted one after the other.
+#: Parts of a bucket of BUCKET_BYTES whose suffixes are sorted one after the other.
 PARTS = 8
+#: Every block asks every bucket, so beyond FEW of either they grow with the input,
+#: blocks and buckets up to so many times; what is worked on at once stays as it is.
+FEW, BLOCKS_GROW, BUCKETS_GROW = 256, 8, 4
+#: Runs whose strings are marked at once.
+RUNS = 1 << 15
 
 
 # Suffix arrays
@@ -177,30 +182,40 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces:
-    """A block's maximal runs of strings with one minimizer: [start, start + length - 1 + count)."""
+    """A block's maximal runs of strings with one minimizer: [start, start + length - 1 + count). About ``slice_bytes`` of whole documents are hashed at once."""
 
-    def __init__(self, body: bytes, length: int, gram: int):
+    def __init__(self, body: bytes, length: int, gram: int, slice_bytes: int = BLOCK_BYTES):
         self.ids, self.raw, self.ends = blocks.unpack(body)
         self.length = length
-        data = np.frombuffer(self.raw, np.uint8)
-        self.size = len(data)
-        firsts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
-        ok = np.zeros(self.size + 1, np.int8)
-        long_ = self.ends - firsts >= length
+        self.size = len(self.raw)
+        none = np.zeros(0, np.int64)
+        found = [(none, np.zeros(0, np.uint64), none, none)]
+        x = 0
+        while x < len(self.ends):
+            a = int(self.ends[x - 1]) if x else 0
+            y = max(x + 1, int(np.searchsorted(self.ends, a + slice_bytes, "right")))
+            start, hash_, doc, count = self._runs(np.frombuffer(self.raw, np.uint8, int(self.ends[y - 1]) - a, a) if self.ends[y - 1] > a else none.astype(np.uint8), self.ends[x:y] - a, gram)
+            found.append((start + a, hash_, doc + x, count))
+            x = y
+        self.start, self.hash, self.doc, self.count = (np.concatenate(f) for f in zip(*found, strict=True))
+
+    def _runs(self, data: np.ndarray, ends: np.ndarray, gram: int) -> tuple:
+        """Start, hash, document and count of the runs of some documents."""
+        length = self.length
+        firsts = np.concatenate([[0], ends[:-1]])
+        ok = np.zeros(len(data) + 1, np.int8)
+        long_ = ends - firsts >= length
         ok[firsts[long_]] += 1
-        ok[self.ends[long_] - length + 1] -= 1
+        ok[ends[long_] - length + 1] -= 1
         at = np.flatnonzero(np.cumsum(ok[:-1], dtype=np.int8))
         if not len(at):
-            self.start = self.count = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
-            return
+            return at, np.zeros(0, np.uint64), at, at
         least = _slide(rolling.of_grams(rolling.prefix(data), gram), length - gram + 1)[at]
-        doc = np.repeat(np.arange(len(self.ends)), np.maximum(self.ends - firsts - length + 1, 0))
+        doc = np.repeat(np.arange(len(ends)), np.maximum(ends - firsts - length + 1, 0))
         new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         cut = np.flatnonzero(new)
         # minima crowd near 0: mixed once more, they spread over all buckets
-        self.start, self.hash, self.doc = at[cut], rolling.mix(least[cut] + np.uint64(1)), doc[cut]
-        self.count = np.diff(np.append(cut, len(at)))
+        return at[cut], rolling.mix(least[cut] + np.uint64(1)), doc[cut], np.diff(np.append(cut, len(at)))
 
     def distinct(self, chosen: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pieces of the chosen runs by hash, their hashes and smallest docs, and each run's place among them."""
@@ -210,7 +225,11 @@ class Pieces:
         inverse = np.empty(len(order), np.int64)
         first: list[int] = []
         raw, more = self.raw, self.length - 1
-        for i, (s, n) in enumerate(zip(self.start[order].tolist(), self.count[order].tolist(), strict=True)):
+        new = np.ones(len(order), bool)
+        np.not_equal(self.hash[order[1:]], self.hash[order[:-1]], out=new[1:])
+        for i, (s, n, other) in enumerate(zip(self.start[order].tolist(), self.count[order].tolist(), new.tolist(), strict=True)):
+            if other:
+                places.clear()  # equal pieces have one minimizer
             piece = raw[s : s + n + more]
             at = places.get(piece)
             if at is None:
@@ -227,29 +246,41 @@ def _bounds(buckets: int) -> np.ndarray:
     return np.array([((1 << 64) * b) // buckets for b in range(buckets)], np.uint64)
 
 
-def _ask_pieces(pieces: list[bytes], hashes: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    cuts = [*np.searchsorted(hashes, _bounds(buckets)).tolist(), len(hashes)]
+def _ask_pieces(pieces: list[bytes], hashes: np.ndarray, docs: np.ndarray, buckets: int, parts: int = PARTS) -> Iterator[tuple[int, bytes]]:
+    cuts = np.append(np.searchsorted(hashes, _bounds(buckets * parts)), len(hashes))
+    ends = cuts[parts::parts].tolist()
     squeeze = zstandard.ZstdCompressor(level=3)
-    for b in range(buckets):
-        x, y = cuts[b], cuts[b + 1]
+    x = 0
+    for b, y in enumerate(ends):
         if x < y:
             sizes = np.array([len(p) for p in pieces[x:y]], "<u4").tobytes()
-            parts = np.searchsorted(hashes[x:y], _bounds(buckets * PARTS)[b * PARTS : (b + 1) * PARTS]).astype("<q")
-            yield b, struct.pack("<q", y - x) + parts.tobytes() + squeeze.compress(sizes + hashes[x:y].astype("<u4").tobytes() + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
+            begin = (cuts[b * parts : (b + 1) * parts] - x).astype("<q")
+            yield b, struct.pack("<q", y - x) + begin.tobytes() + squeeze.compress(sizes + hashes[x:y].astype("<u4").tobytes() + pack_docs(docs[x:y]) + b"".join(pieces[x:y]))
+        x = y
+
+
+class _Asked:
+    """Pieces of a block in a bucket, 32 bits of their minimizers, and their docs; one part's are taken out at a time."""
 
+    def __init__(self, blob: bytes, parts: int):
+        n, *begin = struct.unpack_from(f"<{1 + parts}q", blob)
+        self.raw = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * parts :])
+        self.cuts = [*begin, n]
+        self.ends = np.zeros(n + 1, np.int64)
+        np.cumsum(np.frombuffer(self.raw, "<u4", n), out=self.ends[1:])
+        self.names = np.frombuffer(self.raw, "<u4", n, 4 * n)
+        self.docs = unpack_docs(self.raw[8 * n : 8 * n + 9 + n * self.raw[8 * n]], n)
+        self.ends += 8 * n + 9 + n * self.raw[8 * n]
 
-def _read_pieces(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray, list[int]]:
-    """Pieces, 32 bits of their minimizers, their docs, and the places where the bucket's parts begin and end."""
-    n, *parts = struct.unpack_from(f"<{1 + PARTS}q", blob)
-    raw = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * PARTS :])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)).tolist()
-    names = np.frombuffer(raw, "<u4", n, 4 * n).tolist()
-    docs = unpack_docs(raw[8 * n :], n)
-    at = 8 * n + 9 + n * raw[8 * n]
-    return [raw[at + a : at + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], names, docs, [*parts, n]
+    def part(self, k: int) -> tuple[list[bytes], list[int], list[int]]:
+        x, y = self.cuts[k], self.cuts[k + 1]
+        if x == y:
+            return [], [], []
+        ends, raw = self.ends[x : y + 1].tolist(), self.raw
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], self.names[x:y].tolist(), self.docs[x:y].tolist()
 
 
-def _answers(length: int):
+def _answers(length: int, parts: int = PARTS):
     def part(asked: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator[np.ndarray]:
         """For each block the bits of its pieces in one part."""
         places: dict[bytes, int] = {}
@@ -279,13 +310,12 @@ def _answers(length: int):
             yield np.concatenate(bits) if bits else np.zeros(0, bool)
 
     def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        read = [_read_pieces(blob) for _, blob in held]
+        read = [_Asked(blob, parts) for _, blob in held]
         bits: list[list[np.ndarray]] = [[] for _ in held]
-        for k in range(PARTS):
-            asked = [(pieces[cuts[k] : cuts[k + 1]], names[cuts[k] : cuts[k + 1]], docs[cuts[k] : cuts[k + 1]].tolist()) for pieces, names, docs, cuts in read]
-            if any(pieces for pieces, _, _ in asked):
-                for into, got in zip(bits, part(asked), strict=True):
-                    into.append(got)
+        for k in range(parts):
+            some = [i for i, r in enumerate(read) if r.cuts[k] < r.cuts[k + 1]]
+            for i, got in zip(some, part([read[i].part(k) for i in some]), strict=True):
+                bits[i].append(got)
         squeeze = zstandard.ZstdCompressor(level=3)
         for (block, _), got in zip(held, bits, strict=True):
             all_ = np.concatenate(got)
@@ -309,44 +339,51 @@ def _read_bits(pieces: list[bytes], hashes: np.ndarray, length: int, buckets: in
 
 def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): the bytes that stay of every document."""
-    table = blocks.build(df, id_col, text_col, block_bytes)
+    grown = min(max(input_bytes(df) // FEW, block_bytes), block_bytes * BLOCKS_GROW)
+    table = blocks.build(df, id_col, text_col, grown)
     total = table.agg({"n_bytes": "sum"}).first()[0] or 0
-    buckets = blocks.bucket_count(total, bucket_bytes)
+    grow = min(max(total // (bucket_bytes * FEW), 1), BUCKETS_GROW)
+    buckets = blocks.bucket_count(total, bucket_bytes * grow)
+    cuts = PARTS * grow
     bits = sketch.width_bits(total // 16)
-    parts = blocks.partition_count(table, buckets)
+    parts = blocks.partition_count(table, buckets * grow)
 
     def count(row: tuple) -> Iterator[tuple[int, bytes]]:
-        return sketch.questions(Pieces(row[2], length, gram).hash, bits, buckets)
+        return sketch.questions(Pieces(row[2], length, gram, block_bytes).hash, bits, buckets)
 
     def candidates(held: Pieces, got: list | None) -> tuple:
         return held.distinct(np.flatnonzero(sketch.repeated(held.hash, bits, buckets, got)))
 
     def where(row: tuple) -> Iterator[tuple[int, bytes]]:
-        pieces, hashes, least, _ = candidates(Pieces(row[2], length, gram), row[3])
-        return _ask_pieces(pieces, hashes, least, buckets)
+        pieces, hashes, least, _ = candidates(Pieces(row[2], length, gram, block_bytes), row[3])
+        return _ask_pieces(pieces, hashes, least, buckets, cuts)
 
     counted = blocks.with_answers(table, blocks.ask(table, count, sketch.answers(bits, buckets), parts), "counts")
-    placed = blocks.with_answers(counted, blocks.ask(counted, where, _answers(length), parts), "places")
+    placed = blocks.with_answers(counted, blocks.ask(counted, where, _answers(length, cuts), parts), "places")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for _, _, body, counts, places in blocks.row_tuples(batches):
-                held = Pieces(body, length, gram)
+                held = Pieces(body, length, gram, block_bytes)
                 pieces, hashes, least, inverse = candidates(held, counts)
                 smaller, offsets = _read_bits(pieces, hashes, length, buckets, places)
-                start, count_, docs = held.start[held.chosen], held.count[held.chosen], held.ids[held.doc[held.chosen]]
-                later = docs > least[inverse]
-                within = np.arange(int(count_.sum())) - np.repeat(np.cumsum(count_) - count_, count_)
-                hit = np.repeat(later, count_) | smaller[np.repeat(offsets[inverse], count_) + within]
-                at = (np.repeat(start, count_) + within)[hit]
-                cover = np.zeros(held.size + 1, np.int32)
-                cover[at] += 1
-                cover[at + length] -= 1
-                off = np.cumsum(cover[:-1]) > 0
-                a = 0
+                del pieces, hashes, body, counts, places
+                later = held.ids[held.doc[held.chosen]] > least[inverse]
+                cover = np.zeros(held.size + 1, np.int8)
+                for k in range(0, len(held.chosen), RUNS):
+                    some, of = held.chosen[k : k + RUNS], inverse[k : k + RUNS]
+                    start, count_ = held.start[some], held.count[some]
+                    within = np.arange(int(count_.sum())) - np.repeat(np.cumsum(count_) - count_, count_)
+                    hit = np.repeat(later[k : k + RUNS], count_) | smaller[np.repeat(offsets[of], count_) + within]
+                    at = (np.repeat(start, count_) + within)[hit]
+                    cover[at] += 1
+                    cover[at + length] -= 1
+                a = now = 0
                 for doc, b in zip(held.ids.tolist(), held.ends.tolist(), strict=True):
-                    mask = off[a:b]
+                    over = np.cumsum(cover[a:b], dtype=np.int32) + now
+                    now = int(over[-1]) if b > a else now
+                    mask = over > 0
                     n = int(mask.sum())
                     kept = held.raw[a:b]
                     spans = 0
