@@ -131,6 +131,28 @@ def test_validation(spark):
         one(spark, validate.enforce(F.array(F.lit("too bad")), "error"))
 
 
+def test_validation_reads_each_value_once(spark):
+    """Members are read once an object and once an array of objects, however deep, and not again in each check."""
+    types = Types.of({"IN": {"a": "int", "b": "string"}, "MID": {"in": "IN", "all": "IN[]"}, "OUT": {"mid": "MID"}})
+    df = spark.createDataFrame([('{"o": {"mid": {"in": {"a": 1.5}, "all": [{"a": 1, "b": 2}, null, 3, {"b": null, "a": "x"}]}}}',), ('{"o": {"mid": 1}}',), ('{"o": null}',)], "doc string")
+    held = df.select(F.try_parse_json("doc").alias("v")).select(validate.arguments(F.col("v"), {"o": P("OUT")}, types, parsed=True).errors.alias("e"))
+    assert [r.e for r in held.collect()] == [
+        ["o.mid.in.a: not a legal int: DECIMAL(2,1)", "o.mid.in: missing member b", "o.mid.all[].b: not a legal string: BIGINT", "o.mid.all[]: not a IN", "o.mid.all[].a: not a legal int: STRING"],
+        ["o.mid: not a MID"],
+        [],
+    ]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") <= 12
+
+
+def test_validation_names_keep_their_case(spark):
+    types = Types.of({"BOTH": {"a": "int", "A": "string"}})
+    check = lambda doc, t: one(spark, validate.arguments(F.lit(json.dumps({"p": doc})), {"p": P(t)}, types).errors)
+    assert check({"A": "s", "a": 1}, "BOTH") == check([{"a": 1, "A": "s"}, None], "BOTH[]") == []
+    assert check({"a": 1}, "BOTH") == ["p: missing member A"]
+    assert check([{"A": 2, "a": 1}], "BOTH[]") == ["p[].A: not a legal string: BIGINT"]
+
+
 # Programs
 
 

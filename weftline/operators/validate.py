@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import TypeId, Types
+from .expr import let
 
 LEVELS = ("disable", "log", "alarm", "error")
 
@@ -21,45 +22,95 @@ class StageError(Exception):
     """A stage failed in another way; it may be retried."""
 
 
-def scalar_error(value: Column, kind: Column, name: str) -> Column:
-    """An error text if a VARIANT isn't a legal ``name``; ``kind`` is its schema_of_variant. NULL is always legal."""
-    number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|INT)")
-    whole = F.try_variant_get(value, "$", "double")
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def scalar_errors(value: Column, name: str, at: str) -> Column:
+    """An array of the error text, if a VARIANT isn't a legal ``name``, behind ``at``. NULL is always legal."""
+    kind = F.schema_of_variant(value)
+    number, whole = "BIGINT|DOUBLE|DECIMAL|INT", F.try_variant_get(value, "$", "double")
     legal = {
-        "int": number & (whole == F.floor(whole)),
-        "float": number,
-        "string": kind == "STRING",
-        "path": kind == "STRING",
-        "file": kind == "STRING",
-        "bool": kind == "BOOLEAN",
-        "map": kind.startswith("OBJECT"),
-    }.get(name, kind == "STRING")
-    return F.when(value.isNull() | (kind == "VOID") | legal, None).otherwise(F.concat(F.lit(f"not a legal {name}: "), kind))
+        "int": kind.isin("BIGINT", "VOID") | (kind.rlike(f"^({number})") & (whole == F.floor(whole))),
+        "float": kind.rlike(f"^(VOID|{number})"),
+        "bool": kind.isin("BOOLEAN", "VOID"),
+        "map": kind.rlike("^(VOID|OBJECT)"),
+    }.get(name, kind.isin("STRING", "VOID"))
+    return F.when(legal | value.isNull(), none()).otherwise(F.array(F.concat(F.lit(f"{at}not a legal {name}: "), kind)))
+
+
+def joined(*parts: Column) -> Column:
+    """The arrays one after another. In lambdas, which are interpreted, flatten costs less than concat."""
+    return F.flatten(F.array(*parts).cast("array<array<string>>"))
+
+
+def object_type(names: Sequence[str]) -> str:
+    """The Spark type that reads an object's members in one pass: NULL for what is no object; a member is NULL only where it is missing."""
+    quoted = ("`{}`: variant".format(n.replace("`", "``")) for n in names)
+    return f"struct<{', '.join(quoted)}>"
+
+
+def members_of(read: Column, names: Sequence[str], array: bool = False) -> tuple[Column, list[str]]:
+    """What was read as ``object_type`` (``array``: as an array of it), and the names of its fields: places if the members' names differ by case alone, which Spark ignores."""
+    if len({n.lower() for n in names}) == len(names):
+        return read, list(names)
+    places = [f"_{i}" for i in range(len(names))]
+    kind = object_type(places)
+    return read.cast(f"array<{kind}>" if array else kind), places
 
 
 def variant_errors(value: Column, t: TypeId, types: Types, path: str = "") -> Column:
-    """An array of error texts with paths for a VARIANT against a type; empty where it is valid."""
-    kind = F.schema_of_variant(value)
-    none = F.array().cast("array<string>")
-    null = value.isNull() | (kind == "VOID")
-    at = F.lit(f"{path}: ") if path else F.lit("")
+    """An array of error texts with paths for a VARIANT against a type; empty where it is valid.
+
+    ``value`` stands in the result several times, so it should be cheap: a column, a lambda's
+    variable or a field of one. Members are read once for an object, those of an array's objects
+    together, and the kind of a whole subtree only where the subtree isn't what was declared.
+    """
+    at = f"{path}: " if path else ""
+    element = t.element() if t.array_dim or t.map_dim else None
+
+    def other(wanted: str) -> Column:
+        null = value.isNull() | (F.schema_of_variant(value) == "VOID")
+        return F.when(null, none()).otherwise(F.array(F.lit(f"{at}not {wanted}")))
+
+    def each(items: Column, path: str) -> Column:
+        return F.flatten(F.transform(items, lambda x: variant_errors(x, element, types, path)))
+
+    if t.array_dim and element.name in types.structs and not element.array_dim and not element.map_dim:
+        names = list(types.structs[element.name])
+        items, fields = members_of(F.try_variant_get(value, "$", f"array<{object_type(names)}>"), names, array=True)
+
+        def objects(items: Column) -> Column:
+            void = F.when(F.exists(items, lambda x: x.isNull()), F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "VOID"))
+            no_object = F.array(F.lit(f"{path}[]: not a {element}"))
+
+            def one(void: Column, x: Column, i: Column) -> Column:
+                return F.when(x.isNotNull(), member_errors(x, fields, element.name, types, f"{path}[]")).when(F.get(void, i), none()).otherwise(no_object)
+
+            return let(void, lambda v: F.flatten(F.transform(items, lambda x, i: one(v, x, i))))
+
+        return F.coalesce(let(items, objects), other(f"an array of {element}"))
     if t.array_dim:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        inner = F.flatten(F.transform(items, lambda x: variant_errors(x, t.element(), types, f"{path}[]")))
-        return F.when(null, none).when(kind.startswith("ARRAY"), F.coalesce(inner, none)).otherwise(F.array(F.concat(at, F.lit(f"not an array of {t.element()}"))))
+        return F.coalesce(each(F.try_variant_get(value, "$", "array<variant>"), f"{path}[]"), other(f"an array of {element}"))
     if t.map_dim:
         items = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-        inner = F.flatten(F.transform(items, lambda x: variant_errors(x, t.element(), types, f"{path}{{}}")))
-        return F.when(null, none).when(kind.startswith("OBJECT"), F.coalesce(inner, none)).otherwise(F.array(F.concat(at, F.lit(f"not a map of {t.element()}"))))
+        return F.coalesce(each(items, f"{path}{{}}"), other(f"a map of {element}"))
     if t.name in types.structs:
-        members = F.try_variant_get(value, "$", "map<string,variant>")
-        parts = [
-            F.when(F.array_contains(F.map_keys(members), m), variant_errors(members[m], mt, types, f"{path}.{m}" if path else m)).otherwise(F.array(F.concat(at, F.lit(f"missing member {m}"))))
-            for m, mt in types.structs[t.name].items()
-        ]
-        return F.when(null, none).when(kind.startswith("OBJECT"), F.concat(*parts)).otherwise(F.array(F.concat(at, F.lit(f"not a {t.name}"))))
-    error = scalar_error(value, kind, t.name)
-    return F.when(error.isNull(), none).otherwise(F.array(F.concat(at, error)))
+        names = list(types.structs[t.name])
+        read, fields = members_of(F.try_variant_get(value, "$", object_type(names)), names)
+        return let(read, lambda x: F.when(x.isNotNull(), member_errors(x, fields, t.name, types, path)).otherwise(other(f"a {t.name}")))
+    return scalar_errors(value, t.name, at)
+
+
+def member_errors(read: Column, fields: Sequence[str], name: str, types: Types, path: str) -> Column:
+    """The errors of the members of a struct ``name``, read as ``fields``."""
+    at, under = (f"{path}: ", f"{path}.") if path else ("", "")
+    return joined(
+        *(
+            F.when(read[f].isNull(), F.array(F.lit(f"{at}missing member {m}"))).otherwise(variant_errors(read[f], t, types, f"{under}{m}"))
+            for f, (m, t) in zip(fields, types.structs[name].items(), strict=True)
+        )
+    )
 
 
 @dataclass
@@ -71,13 +122,26 @@ class Report:
 def arguments(doc: Column, params: Mapping[str, TypeId], types: Types, optional: tuple[str, ...] = (), outputs: bool = False, parsed: bool = False) -> Report:
     """Checks a JSON object column against parameters: a missing one is an error, an unknown one an error (of outputs: an alarm). ``parsed``: doc is a VARIANT."""
     value = doc if parsed else F.try_parse_json(doc)
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    none = F.array().cast("array<string>")
-    each = [F.when(F.array_contains(F.map_keys(members), p), variant_errors(members[p], t, types, p)).otherwise(F.array(F.lit(f"missing {'output' if outputs else 'parameter'} {p}"))) for p, t in params.items()]
-    known = F.array(*(F.lit(p) for p in (*params, *optional)))
-    extra = F.transform(F.array_except(F.map_keys(members), known), lambda k: F.concat(F.lit("unexpected "), k))
-    errors = F.when(members.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(*each, none if outputs else F.coalesce(extra, none)))
-    return Report(errors, F.coalesce(extra, none) if outputs else none)
+    known = [*params, *optional]
+
+    def extra(v: Column) -> Column:
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,struct<>>"))
+        return F.coalesce(F.transform(F.filter(keys, lambda k: ~k.isin(known)), lambda k: F.concat(F.lit("unexpected "), k)), none())
+
+    def found(v: Column) -> Column:
+        read, fields = members_of(F.try_variant_get(v, "$", object_type(list(params))), list(params))
+
+        def each(x: Column) -> Column:
+            parts = [
+                F.when(x[f].isNull(), F.array(F.lit(f"missing {'output' if outputs else 'parameter'} {p}"))).otherwise(variant_errors(x[f], t, types, p))
+                for f, (p, t) in zip(fields, params.items(), strict=True)
+            ]
+            return F.when(x.isNull(), F.array(F.lit("not an object"))).otherwise(joined(*parts, *(() if outputs else (extra(v),))))
+
+        return let(read, each)
+
+    errors = found(value) if parsed else let(value, found)
+    return Report(errors, extra(value) if outputs else none())
 
 
 def returns(outs: Mapping[str, Column], params: Mapping[str, TypeId], literals: tuple[str, ...] = ()) -> Column:

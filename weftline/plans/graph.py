@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import expr, mapcall
+from ..operators.expr import let
 from ..operators.scatter import RESERVED
 from ..operators.validate import Assertion
 from ..types import TypeId, TypeMismatch, Types
@@ -106,11 +107,6 @@ class Mapped:
         return mapcall.over_map(self.source, lambda _, v: self.call(v)) if self.over == "map" else mapcall.over_array(self.source, lambda x, _: self.call(x))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value in the plan once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def refs(value: object) -> list[Ref]:
     """All references inside an expression."""
     if isinstance(value, Ref):
